@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PIVOTS = 128
-PREFIX = 24
+PIVOTS = 256
+PREFIX = 64
 KEEP = 0.12
 
 
