@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 PIVOTS = 256
 PREFIX = 64
-KEEP = 0.12
+KEEP = 0.15
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def _search_cell(pivots: np.ndarray, top: float, k: int, m: int, keep: float):
         by_pivot = np.argsort(index.ravel(), kind="stable")
         rows, places = (by_pivot // m), (by_pivot % m).astype(np.int32)
         ends = np.searchsorted(index.ravel()[by_pivot], np.arange(len(pivots) + 1))
-        wanted = min(len(base), max(int(np.ceil(keep * len(base))), 8 * k))
+        wanted = min(len(base), max(int(np.ceil(keep * len(base))), 40 * k))
         found = []
         number = np.arange(len(base))
         for q, qid, near in zip(asked, asked_ids, prefixes(asked, np.zeros(len(asked)), pivots, lift, m), strict=True):
