@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkcatalog.llm import ann, chat, decontam, langid, mix, pii, simhash
+from chunkcatalog.llm import ann, chat, decontam, html, langid, mix, pii, simhash, warc
 from chunkcatalog.llm.common import table
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.records_of_pages(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "url_key", "target_id", "outcome", warc.header_text(F.col("headers")).alias("headers"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixed_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,7 +47,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", langid.held_out("doc_id").alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_mix_sources": op2_mix_sources,
     "op4_pii_sanitise": op4_pii_sanitise,
     "op5_chat_format": op5_chat_format,
@@ -50,6 +60,39 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_permutation_index": op8_permutation_index,
     "op9_language_id": op9_language_id,
+    "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP1_SQL = r"""
+WITH url_parts AS (
+  SELECT page_id, html, v.kind, regexp_replace(regexp_replace(v.u, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+  FROM pages, LATERAL (VALUES ('response', url), ('revisit', url || CASE WHEN page_id % 11 = 0 THEN '/never' ELSE '#top' END)) AS v(kind, u)
+), keyed AS (
+  SELECT page_id, html, kind,
+    regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), '^www[0-9]*\.', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid)='))), '&') AS query
+  FROM url_parts
+), records AS (
+  SELECT page_id, html, kind, base || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key,
+    page_id * 60 + CASE WHEN kind = 'revisit' THEN page_id * 7919 % 100000 * 60 + 30 ELSE 0 END AS ts,
+    '"' || substr(md5(html), 1, 16) || '"' AS tag,
+    CASE WHEN page_id % 3 <> 0 THEN 'day ' || CAST(page_id // 1000 AS VARCHAR) END AS dated
+  FROM keyed
+), joined AS (
+  SELECT r.page_id, r.url_key, r.ts, p.page_id AS pid, length(p.html) AS size,
+    CASE WHEN r.page_id % 5 = 0 THEN '"stale"' = p.tag WHEN r.page_id % 5 <> 1 THEN r.tag = p.tag ELSE r.dated = p.dated END AS checked
+  FROM (SELECT * FROM records WHERE kind = 'revisit') r
+  ASOF LEFT JOIN (SELECT * FROM records WHERE kind = 'response') p ON r.url_key = p.url_key AND r.ts > p.ts
+), judged AS (
+  SELECT *, CASE WHEN pid IS NULL THEN 'orphan' WHEN checked IS NULL THEN 'unverified' WHEN checked THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM joined
+)
+SELECT page_id * 2 + 1 AS record_id, url_key, pid * 2 AS target_id, outcome,
+  CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=' || CAST(page_id % 600 AS VARCHAR) || chr(10) || 'content-length: ' || CAST(size AS VARCHAR)
+    || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || CAST(ts AS VARCHAR) || chr(10) || 'server: s' || CAST(pid % 7 AS VARCHAR) END AS headers
+FROM judged
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": _OP1_SQL}
