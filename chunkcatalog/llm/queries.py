@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkcatalog.llm import ann, chat, decontam, html, langid, mix, pii, simhash, warc
+from chunkcatalog.llm import ann, chat, decontam, html, katz, langid, mix, pii, simhash, warc
 from chunkcatalog.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixed_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return katz.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op4_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -54,6 +59,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_mix_sources": op2_mix_sources,
+    "op3_katz": op3_katz,
     "op4_pii_sanitise": op4_pii_sanitise,
     "op5_chat_format": op5_chat_format,
     "op6_simhash": op6_simhash,
