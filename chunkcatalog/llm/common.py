@@ -21,6 +21,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="chunkcatalog-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: computed once, and safe from lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

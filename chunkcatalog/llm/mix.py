@@ -123,3 +123,13 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     rows, pieces = mix(docs, **options)
     taken = pieces.groupBy(F.col("source").alias("s"), F.col("start").alias("at")).agg(F.sum("piece_words").alias("taken"))
     return rows.join(taken, rows.source.eqNullSafe(taken.s) & (rows.start == taken["at"]), "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def taken_documents(docs: DataFrame, **options: object) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, with ``size``, ``source_size``, ``target`` and ``taken``.
+
+    Rows that share a doc_id share its numbers, so doc_id should be unique here.
+    """
+    added = ["size", "source_size", "target", "taken"]
+    plan = mixed_documents(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), *added)
+    return docs.drop(*added).join(plan, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
