@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkcatalog.llm.common import cut
+
 # What counts as each kind. Possessive quantifiers stand where giving back cannot help a match.
 _LOCAL = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -80,7 +82,8 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base``: array of ``(start, kind, end, value)`` in order, kind as a place in ``KINDS``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<string>")
-    x = docs.select("*", *(F.when(_GATES[k](text), F.regexp_extract_all(text, F.lit(_PATTERNS[k]), F.lit(0))).otherwise(none).alias(f"__{k}") for k in KINDS))
+    x = docs.select("*", text.rlike("[0-9@]").alias("__any"))
+    x = x.select("*", *(F.when(F.col("__any") & _GATES[k](text), F.regexp_extract_all(text, F.lit(_PATTERNS[k]), F.lit(0))).otherwise(none).alias(f"__{k}") for k in KINDS))
     def places(k: str) -> Column:
         wanted = F.filter(F.sequence(F.lit(0), F.size(f"__{k}") - 1), lambda j: _counts_as(k, F.element_at(f"__{k}", j + 1)))
         return F.when(F.size(f"__{k}") > 0, wanted).otherwise(F.array().cast("array<int>"))
@@ -103,13 +106,26 @@ def _context_terms(side: Column, offset: Column, cut_first: Column, cut_last: Co
     return _placed(words, gaps, wanted, lambda m, a, b: F.struct(F.lower(m).alias("term"), (offset + a).alias("start"), (offset + b).alias("end")))
 
 
-def contexts(marked: DataFrame, reach: int = REACH) -> DataFrame:
-    """A row for each term near a base span: ``(row, entity, context, term, start, end)``."""
-    x = marked.where(F.size("base") > 0).select("row", "text", F.explode("base").alias("m"))
-    begin = F.greatest(F.col("m.start") - reach, F.lit(0))
-    left, right = F.substr("text", begin + 1, F.col("m.start") - begin), F.substr("text", F.col("m.end") + 1, F.lit(reach))
-    # A card or phone number may touch its neighbours' digits; its own characters are never terms.
-    x = x.select("row", F.concat_ws(":", F.col("m.kind").cast("string"), F.lower("m.value")).alias("entity"), left.alias("left"), right.alias("right"), begin.alias("begin"), F.col("m.end").alias("end"), (F.col("m.end") + reach < F.length("text")).alias("more"))
+def around(reach: int = REACH) -> Column:
+    """For each base span ``(entity, left, right, begin, end, more)``: the text within reach on both sides, and whether more follows."""
+
+    def context(m: Column) -> Column:
+        begin = F.greatest(m["start"] - reach, F.lit(0))
+        return F.struct(
+            F.concat_ws(":", m["kind"].cast("string"), F.lower(m["value"])).alias("entity"),
+            F.substr("text", begin + 1, m["start"] - begin).alias("left"),
+            F.substr("text", m["end"] + 1, F.lit(reach)).alias("right"),
+            begin.alias("begin"),
+            m["end"].alias("end"),
+            (m["end"] + reach < F.length("text")).alias("more"),
+        )
+
+    return F.transform("base", context)
+
+
+def contexts(marked: DataFrame) -> DataFrame:
+    """A row for each term near a base span of ``marked(row, around)``: ``(row, entity, context, term, start, end)``."""
+    x = marked.select("row", F.explode("around").alias("m")).select("row", "m.*")
     terms = F.concat(_context_terms(F.col("left"), F.col("begin"), F.col("begin") > 0, F.lit(True)), _context_terms(F.col("right"), F.col("end"), F.lit(True), F.col("more")))
     x = x.select("row", "entity", F.xxhash64("left", "right").alias("context"), F.explode(terms).alias("t"))
     return x.select("row", "entity", "context", "t.term", "t.start", "t.end")
@@ -139,8 +155,8 @@ def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float
     ``row`` is a hash of doc_id and text, ``terms`` an array of ``(start, end, act)`` with act ``remove`` or ``generalise``.
     """
     rows = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    marked = with_base_spans(rows)
-    near = contexts(marked, reach)
+    marked = cut(with_base_spans(rows).select("row", "doc_id", "base", around(reach).alias("around")))  # patterns run over the texts once
+    near = contexts(marked)
     risky = disclosures(docs, near, support).where(F.col("disclosure") >= generalise_at).withColumn("act", F.when(F.col("disclosure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise")))
     terms = near.join(risky, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("act").alias("act"))
     terms = terms.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "act"))).alias("terms"))
