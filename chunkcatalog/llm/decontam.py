@@ -101,7 +101,7 @@ def anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "row long, n int, item_id long, n_words int, k int, pos int")
     hit = found.join(grams, (found.h == grams.h) & (found.k == grams.ik)).select("row", "n", "item_id", "n_words", "k", "pos").distinct()
     span = F.col("n_words") - F.col("k") + 1
-    hit = hit.withColumn("place", F.floor(F.col("pos") * _SCALE / span)).withColumn("need", F.ceil(span * SIMILARITY - 1e-9))
+    hit = hit.withColumn("place", F.floor(F.col("pos").cast("long") * _SCALE / span)).withColumn("need", F.ceil(span * SIMILARITY - 1e-9))
     near = F.expr(f"count(*) OVER (PARTITION BY row, item_id ORDER BY place RANGE BETWEEN CURRENT ROW AND {_SCALE} FOLLOWING)")
     return hit.withColumn("near", near).where("near >= need").select("row", "n", "item_id", "n_words", "k", "pos")
 
