@@ -40,7 +40,7 @@ from chunkcatalog.llm.common import cut
 
 K = 5
 DELTA = 0.1
-PER_PARTITION = 6_000_000
+PER_PARTITION = 3_000_000
 LEAST_PARTITIONS = 24
 BATCH_TOKENS = 4_000_000
 _CHUNK = 1 << 21
