@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def _table(ddl: str) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, False) for f in T.StructType.fromDDL(ddl)])
+_KINDS = {"int": T.IntegerType(), "bigint": T.LongType(), "string": T.StringType(), "binary": T.BinaryType()}
+_KINDS["chunks"] = T.ArrayType(T.StructType([T.StructField("hash", T.StringType()), T.StructField("len", T.IntegerType())]))
 
 
-CHUNKS = "array<struct<hash:string,len:int>>"
+def _table(columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _KINDS[kind], False) for name, kind in (c.split() for c in columns.split(", "))])
+
 
 TABLES: dict[str, T.StructType] = {
     "cluster": _table("id int, uid string, encryption_key string, encryption_alg string, format_version int, feature_flags bigint, created_at bigint"),
-    "file": _table(f"id bigint, path string, mtime bigint, chunks {CHUNKS}"),
+    "file": _table("id bigint, path string, mtime bigint, chunks chunks"),
     "file_head": _table("path string, file_id bigint, parent string, name string, mtime bigint"),
     "dir": _table("path string, parent string, name string, mtime bigint"),
     "snapshot": _table("id bigint, name string, created_at bigint"),
