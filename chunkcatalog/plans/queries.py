@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkcatalog.functions import ids, layout, paths, policy
+from chunkcatalog.operators import bytes as bytes_
 from chunkcatalog.operators import catalog, ordered, planners, transitions
 from chunkcatalog.plans.fixtures import Tables, with_tables
 
@@ -532,6 +533,56 @@ def lease_choice(t: Tables) -> DataFrame:
     return planners.lease_choice(own, t.vlog, leases, rules)
 
 
+# ---- byte kernels: their output as sums, which SQL can tell from the input
+
+_KEY, _LABEL = b"integrity key 01", b"chunk"
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS bytes, true AS tiles, true AS sized FROM documents WHERE octet_length(encode(text)) > 0")
+def cdc_chunks(t: Tables) -> DataFrame:
+    """Content-defined chunks of each text: they tile it, and none but the last is too small or too large."""
+    chunks = bytes_.chunk_files(t.raw("documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("data")), 256, 1024, 4096)
+    x = ordered.extents(chunks, ["path"], ["pos"], "len", "want", "__end")
+    last = F.col("pos") == F.max("pos").over(Window.partitionBy("path"))
+    x = x.withColumn("ok", (F.col("len") <= 4096) & (last | (F.col("len") >= 256)))
+    return x.groupBy("path").agg(F.sum("len").alias("bytes"), F.bool_and(F.col("want") == F.col("offset")).alias("tiles"), F.bool_and("ok").alias("sized")).select(F.col("path").cast("long").alias("doc_id"), "bytes", "tiles", "sized")
+
+
+@query("SELECT page_id AS vlog_id, octet_length(encode(html)) AS bytes, 2 AS lost, true AS same FROM pages")
+def rs_roundtrip(t: Tables) -> DataFrame:
+    """Pages as rows of 4 + 2 shards, two shards lost, put together again."""
+    rows = t.raw("pages").select(F.col("page_id").alias("vlog_id"), F.lit(0).alias("row"), F.col("html").cast("binary").alias("data"))
+    shards = bytes_.encode_rows(rows, 4, 2).where((F.col("shard_idx") != F.col("vlog_id") % 6) & (F.col("shard_idx") != (F.col("vlog_id") + 1) % 6))
+    back = bytes_.decode_rows(shards, 4, 2).select("vlog_id", F.col("data").alias("back"), "lost")
+    return rows.join(back, "vlog_id").select("vlog_id", F.octet_length("back").alias("bytes"), "lost", (F.col("back") == F.col("data")).alias("same"))
+
+
+@query("SELECT page_id AS plog_id, (octet_length(encode(html)) + 4095) // 4096 AS sectors, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS corrupt, 0 AS bad_blocks, octet_length(encode(html)) AS length FROM pages")
+def scrub_logs(t: Tables) -> DataFrame:
+    """Pages as log files, one byte changed in every third."""
+    logs = bytes_.encode_logs(t.raw("pages").select(F.col("page_id").alias("plog_id"), F.col("html").cast("binary").alias("data")), _KEY)
+    broken = F.concat(F.substring("content", 1, 4096), F.lit(b"\xff\xfe"), F.expr("substring(content, 4099)"))
+    return bytes_.scrub(logs.withColumn("content", F.when(F.col("plog_id") % 3 == 0, broken).otherwise(F.col("content"))), _KEY)
+
+
+@query("SELECT doc_id AS id, octet_length(encode(text)) AS bytes, true AS same FROM documents")
+def ctr_roundtrip(t: Tables) -> DataFrame:
+    """Texts encrypted and decrypted again."""
+    x = t.raw("documents").select(F.col("doc_id").alias("id"), ids.hash64(F.col("text")).alias("hash64"), (F.col("doc_id") % 50).alias("offset"), F.col("text").cast("binary").alias("data"))
+    sealed = bytes_.crypt(x, _KEY, _LABEL)
+    back = bytes_.crypt(x.drop("data").join(sealed, "id"), _KEY, _LABEL).withColumnRenamed("data", "back")
+    return x.join(back, "id").select("id", F.octet_length("back").alias("bytes"), (F.col("back") == F.col("data")).alias("same"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS file_id, CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS length, CASE WHEN doc_id % 5 = 0 THEN 'crc' ELSE '' END AS error FROM documents")
+def header_roundtrip(t: Tables) -> DataFrame:
+    """Record headers made and parsed; in every fifth a byte is changed."""
+    x = t.raw("documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("flags"), ids.hash64(F.col("text")).alias("hash64"), F.col("n_chars").alias("length"), F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    raw = bytes_.headers(x)
+    broken = F.concat(F.expr("substring(header, 1, 40)"), F.lit(b"\xff\xfe\xfd\xfc"), F.expr("substring(header, 45)"))
+    return bytes_.parse_headers(raw.withColumn("header", F.when(F.col("id") % 5 == 0, broken).otherwise(F.col("header"))))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Space accounting, then what to compact first."""
     return QUERIES["compaction_candidates"](spark, folder)
