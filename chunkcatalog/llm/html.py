@@ -152,7 +152,7 @@ def evidence(blocks: list[tuple[str, _Node, int]]) -> list[float]:
         score -= (1.0 if node.says > 0 else 4.0) * share
         if not marked and node.says == 0:
             score += 1.0 if text[-1] in ".!?\"'" else 0.0
-            score += 1.0 if node.tag in ("p", "h1", "blockquote", "pre") else 0.0
+            score += 1.0 if node.tag in ("", "p", "h1", "blockquote", "pre") else 0.0
             score -= 1.5 if text.startswith("©") else 0.0
         out.append(score)
     return out
