@@ -146,7 +146,7 @@ def evidence(blocks: list[tuple[str, _Node, int]]) -> list[float]:
     marked = any(node.says > 0 for _, node, _ in blocks)
     out = []
     for text, node, linked in blocks:
-        score = 6.0 if node.says > 0 else -12.0 if node.says < 0 else -5.0 if marked else -0.5
+        score = 6.0 if node.says > 0 else -12.0 if node.says < 0 else -5.0 if marked else 0.2
         score += min(len(text), 400) / 200
         share = min(1.0, linked / len(text))
         score -= (1.0 if node.says > 0 else 4.0) * share
