@@ -22,6 +22,8 @@ documents, cover it whole; repeated rows match alike, items repeated under one i
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,13 +42,21 @@ def words_of(text: Column) -> Column:
 
 
 def _shingles(words: Column, size) -> Column:
-    """Array of shingles, each an array of words."""
-    k = F.lit(size) if isinstance(size, int) else size
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.slice(words, i, k)))
+    """Array of shingles, words joined by a space (which no word holds)."""
+    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " ")))
+
 
+def _places(words: DataFrame, k: int) -> DataFrame:
+    """A row ``(pos, h)`` for each ``k`` words in a row of ``words(words, ...)``, beside its other columns; ``h`` hashes the words' hashes.
 
-def _hashed(k: int):
-    return lambda i: F.xxhash64(F.slice("words", i, F.lit(k)))
+    The shifted arrays are zipped and exploded, so that the hashing is compiled code on plain columns.
+    """
+    keys = [c for c in words.columns if c != "words"]
+    x = words.where(F.size("words") >= k).select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    x = x.withColumn("n", F.size("hashes"))
+    shifted = [F.col("hashes").alias("w0"), *(F.slice("hashes", F.lit(i + 1), F.col("n")).alias(f"w{i}") for i in range(1, k))]
+    x = x.select(*keys, "n", F.posexplode(F.arrays_zip(*shifted)).alias("pos", "at"))
+    return x.where(F.col("pos") <= F.col("n") - k).select(*keys, "n", "pos", F.xxhash64(*(F.col("at")[f"w{i}"] for i in range(k))).alias("h"))
 
 
 def _simhash(hashed: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,18 +98,18 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 def anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``(row, n, item_id, n_words, k, pos)``: places from which a window may match an item. ``docs(row, text)``."""
-    grams = items.select("item_id", "n_words", "k", F.explode("grams").alias("gram")).select("item_id", "n_words", F.col("k").alias("ik"), F.xxhash64("gram").alias("h")).distinct()
-    grams = _bounded(cut(grams))
     sizes = [r.k for r in items.select("k").distinct().collect()]  # five values at most
-    words = docs.select("row", words_of(F.col("text")).alias("words"))
-    found = None
-    for k in sizes:
-        hashes = F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), _hashed(k))
-        part = words.where(F.size("words") >= k).select("row", F.size("words").alias("n"), F.posexplode(hashes).alias("pos", "h"), F.lit(k).alias("k"))
-        found = part if found is None else found.union(part)
-    if found is None:
+    if not sizes:
         return docs.sparkSession.createDataFrame([], "row long, n int, item_id long, n_words int, k int, pos int")
-    hit = found.join(grams, (found.h == grams.h) & (found.k == grams.ik)).select("row", "n", "item_id", "n_words", "k", "pos").distinct()
+
+    def every(words: DataFrame, of_items: bool) -> DataFrame:
+        parts = [_places(words.where(F.col("k") == k) if of_items else words, k).withColumn("size", F.lit(k)) for k in sizes]
+        return functools.reduce(DataFrame.union, parts)
+
+    grams = every(items.select("item_id", "n_words", "k", "words"), True).select("item_id", "n_words", "k", F.col("h").alias("ih")).distinct()
+    grams = _bounded(cut(grams))
+    found = every(docs.select("row", words_of(F.col("text")).alias("words")), False)
+    hit = found.join(grams, (F.col("h") == F.col("ih")) & (F.col("size") == F.col("k"))).select("row", "n", "item_id", "n_words", "k", "pos").distinct()
     span = F.col("n_words") - F.col("k") + 1
     hit = hit.withColumn("place", F.floor(F.col("pos").cast("long") * _SCALE / span)).withColumn("need", F.ceil(span * SIMILARITY - 1e-9))
     near = F.expr(f"count(*) OVER (PARTITION BY row, item_id ORDER BY place RANGE BETWEEN CURRENT ROW AND {_SCALE} FOLLOWING)")
@@ -134,9 +144,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) ->
     posted = _bounded(cut(posted))
     asked = marked.select(*key, "fp", F.posexplode(F.array(*(_block(b).cast("int") for b in range(BLOCKS)))).alias("b", "v"))
     near = asked.join(posted, (asked.b == posted.block) & (asked.v == posted.value) & (asked.n_words == posted.iw)).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*key, "item_id").distinct()
-    grams = lambda g: F.transform(g, lambda w: F.array_join(w, " "))
     pairs = near.join(windows, key).join(items.select("item_id", F.col("grams").alias("item_grams")), "item_id")
-    pairs = pairs.select("row", "item_id", "start", _similarity(grams(F.col("grams")), grams(F.col("item_grams"))).alias("similarity")).where(F.col("similarity") >= least)
+    pairs = pairs.select("row", "item_id", "start", _similarity(F.col("grams"), F.col("item_grams")).alias("similarity")).where(F.col("similarity") >= least)
     best = pairs.groupBy("row", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best"))
     return best.select("row", "item_id", (-F.col("best.s")).alias("start"), F.col("best.similarity").alias("similarity"))
 
