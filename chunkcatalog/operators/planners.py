@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chunkcatalog.functions import layout, policy
 from chunkcatalog.operators import catalog, ordered
+from chunkcatalog.plans.store import settle
 from chunkcatalog.schema import HEADER_BYTES
 
 
@@ -256,11 +257,10 @@ def valid_commits(writes: DataFrame) -> DataFrame:
 
 def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
     """Nodes of ``nodes(node)`` that no root reaches over ``edges(parent, child)``: a level a round, until nothing is new."""
-    seen = roots.select("node").distinct()
-    front = seen
+    seen = front = settle(roots.select("node").distinct())
     for _ in range(max_depth):
-        front = front.join(edges, front.node == edges.parent).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = settle(front.join(edges, front.node == edges.parent).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti"))
         if front.isEmpty():
             break
-        seen = seen.union(front)
+        seen = settle(seen.union(front))
     return nodes.join(seen, "node", "left_anti")

@@ -583,6 +583,70 @@ def header_roundtrip(t: Tables) -> DataFrame:
     return bytes_.parse_headers(raw.withColumn("header", F.when(F.col("id") % 5 == 0, broken).otherwise(F.col("header"))))
 
 
+# ---- more reads
+
+
+@query(
+    """WITH RECURSIVE edges AS (SELECT doc_id AS parent, doc_id * 2 + 1 AS child FROM documents UNION ALL SELECT doc_id, doc_id * 2 + 2 FROM documents),
+  seen AS (SELECT doc_id AS node FROM documents WHERE doc_id % 11 = 3 UNION SELECT child FROM seen JOIN edges ON node = parent)
+SELECT doc_id AS node FROM documents WHERE doc_id NOT IN (SELECT node FROM seen)"""
+)
+def unreachable_nodes(t: Tables) -> DataFrame:
+    """Nodes of a binary tree below none of the roots."""
+    ids_ = t.raw("documents").select("doc_id")
+    edges = ids_.select(F.col("doc_id").alias("parent"), F.explode(F.array(F.col("doc_id") * 2 + 1, F.col("doc_id") * 2 + 2)).alias("child"))
+    return planners.unreachable(ids_.withColumnRenamed("doc_id", "node"), edges, ids_.where("doc_id % 11 = 3").withColumnRenamed("doc_id", "node"))
+
+
+@query("SELECT path, false AS is_dir, size FROM page_heads WHERE file_id % 2 = 0 UNION ALL SELECT DISTINCT parent, true, 0 FROM page_heads WHERE parent <> '' AND parent NOT IN (SELECT path FROM page_heads)", "page_heads")
+def stat_paths(t: Tables) -> DataFrame:
+    heads = t.page_heads
+    one = F.array(F.struct(F.lit("").alias("hash"), F.col("size").cast("int").alias("len")))
+    files = heads.select(F.col("file_id").alias("id"), one.alias("chunks"))
+    dirs = catalog.implied_dirs(heads).select("path", F.lit(0).cast("long").alias("mtime"))
+    wanted = heads.where("file_id % 2 = 0").select("path").union(heads.where("parent <> ''").select("parent")).distinct()
+    flat = heads.select("path", "file_id", F.lit(0).cast("long").alias("mtime"))
+    return catalog.stat(wanted, flat, files, dirs).select("path", "is_dir", "size")
+
+
+@query("SELECT w.path, coalesce(h.file_id, 0) AS file_id FROM (SELECT 'conv/' || CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id < 300) w LEFT JOIN conv_heads h USING (path)", "conv_heads")
+def head_lookup(t: Tables) -> DataFrame:
+    wanted = t.raw("documents").where("doc_id < 300").select(F.concat(F.lit("conv/"), F.col("doc_id").cast("string")).alias("path"))
+    return catalog.head_version(wanted, catalog.latest(t.conv_files).select("path", F.col("id").alias("file_id")))
+
+
+@query("SELECT id, path, CASE WHEN created_at > 50000000000 THEN created_at ELSE created_at * 1000000000 END AS created_ns FROM write_ops WHERE state = 'prepared'", "write_ops")
+def prepared_write_ops(t: Tables) -> DataFrame:
+    return catalog.with_state(t.write_op, "prepared").select("id", "path", policy.created_ns(F.col("created_at")).alias("created_ns"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 4 IN (0, 1) THEN 'COMPLETED' WHEN event_id % 4 = 2 THEN 'RUNNING' ELSE 'UNKNOWN' END AS status FROM events")
+def job_states(t: Tables) -> DataFrame:
+    state = F.element_at(F.array(F.lit("done"), F.lit("cancelled"), F.lit("running"), F.lit("?")), (F.col("event_id") % 4 + 1).cast("int"))
+    return t.raw("events").select(F.col("event_id").alias("id"), policy.job_status(state).alias("status"))
+
+
+@query("SELECT id FROM vlog WHERE id IN (SELECT id FROM write_ops WHERE state = 'prepared')", "vlog write_ops")
+def leased_vlogs(t: Tables) -> DataFrame:
+    leases = t.write_op.where("state = 'prepared'").select(F.col("id").alias("vlog_id"))
+    return catalog.leased(t.vlog, leases).select("id")
+
+
+@query("SELECT DISTINCT parent AS path FROM page_heads WHERE parent <> ''", "page_heads")
+def dirs_with_files(t: Tables) -> DataFrame:
+    """Directories that cannot be removed, as files stand in them."""
+    dirs = catalog.implied_dirs(t.page_heads)
+    return dirs.join(t.page_heads.select(F.col("parent").alias("path")), "path", "left_semi")
+
+
+@query("SELECT disk_id, plog_id, length FROM placed JOIN states USING (disk_id) WHERE reachable AND shard_idx = (SELECT min(q.shard_idx) FROM placed q JOIN states s USING (disk_id) WHERE s.reachable AND q.vlog_id = placed.vlog_id)", "placed states")
+def first_readable_copy(t: Tables) -> DataFrame:
+    up = catalog.disk_states(t.disk, t.node).where(policy.disk_reachable(F.col("disk_state"), F.col("node_state")))
+    x = t.placed.join(up.select("disk_id"), "disk_id", "left_semi")
+    best = x.groupBy("vlog_id").agg(F.min_by(F.struct("disk_id", "plog_id", "length"), "shard_idx").alias("b"))
+    return best.select("b.*")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Space accounting, then what to compact first."""
     return QUERIES["compaction_candidates"](spark, folder)

@@ -11,8 +11,8 @@ from chunkcatalog import schema
 from chunkcatalog.engine import Engine
 from chunkcatalog.functions import ids, kernels, paths, policy
 from chunkcatalog.operators import bytes as byte_ops
-from chunkcatalog.operators import catalog, ordered, planners, transitions
-from chunkcatalog.plans import store
+from chunkcatalog.operators import catalog, invariants, ordered, planners, transitions
+from chunkcatalog.plans import commit, store
 from chunkcatalog.sources import logs
 from chunkcatalog.streaming import write_ops
 
@@ -329,3 +329,71 @@ def test_engine_trace(spark, tmp_path):
     assert not any(isinstance(x, Exception) for x in report.values())
     version = e.publish(str(tmp_path / "pub"), 9)
     assert store.load(spark, str(tmp_path / "pub"), version)["file_head"].count() == len(model)
+
+
+def test_publication_survives_every_crash_and_interleaving():
+    def txn(name, first):
+        return commit.start(name, [commit.Write(s, first + s) for s in range(3)])
+
+    states = [txn("a", 0)]
+    while not commit.finished(states[-1]):
+        states.append(commit.step(states[-1]))
+    assert len(states) == 11 and all(commit.consistent(s) for s in states)
+    assert [commit.recover(s) for s in states] == ["aborted"] * 8 + ["committed"] * 3
+    assert not any(s.acknowledged and commit.recover(s) != "committed" for s in states)
+    # Two transactions share nothing, so a state is a pair of places; all schedules are the paths through them.
+    n = len(states) - 1
+    paths = [[1] * (n + 1) for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, n + 1):
+            paths[i][j] = paths[i - 1][j] + paths[i][j - 1]
+            assert commit.consistent(states[i]) and commit.consistent(states[j])
+    assert paths[n][n] == 184_756
+    for bad in ([], [commit.Write(1, 1), commit.Write(1, 2)], [commit.Write(1, 1), commit.Write(2, 1)]):
+        with pytest.raises(ValueError):
+            commit.start("x", bad)
+
+
+def test_random_namespace_trace(spark):
+    """Weighted random operations on the catalog against a dict of lists, with frozen snapshots."""
+    rng = random.Random(21)
+    cat, model, frozen = schema.empty_catalog(spark), {}, {}
+    hashes = [f"h{i}" for i in range(12)]
+    for n in range(14):
+        op = rng.choices(["write", "unlink", "rename", "rename_dir", "snapshot", "drop", "gc"], [38, 8, 6, 4, 8, 4, 6])[0]
+        path = f"{rng.choice('ab')}/{rng.choice('xyz')}"
+        if op == "write":
+            names = [rng.choice(hashes) for _ in range(rng.randint(0, 4))]
+            batch = spark.createDataFrame([(path, n, [(h, 3) for h in names])], "path string, mtime long, chunks array<struct<hash:string,len:int>>")
+            rows = spark.createDataFrame([(i, h, 1, 100 * i, 3, 3) for i, h in enumerate(names)], "pos int, hash string, vlog_id long, vaddr_offset long, logical_len long, compressed_len long")
+            cat = transitions.publish_files(cat, batch, rows)
+            model[path] = names
+        elif op == "unlink":
+            cat = transitions.unlink(cat, spark.createDataFrame([(path,)], "path string"))
+            model.pop(path, None)
+        elif op == "rename" and path in model:
+            new = f"{rng.choice('ab')}/{rng.choice('xyz')}"
+            if new != path:
+                cat = transitions.rename(cat, path, new)
+                model[new] = model.pop(path)
+        elif op == "rename_dir":
+            cat = transitions.rename(cat, "a", "b")
+            model = {p: v for p, v in model.items() if p.startswith("b/") and f"a/{p[2:]}" not in model} | {f"b/{p[2:]}": v for p, v in model.items() if p.startswith("a/")}
+        elif op == "snapshot":
+            cat = transitions.create_snapshot(cat, f"s{n}", n)
+            frozen[f"s{n}"] = dict(model)
+        elif op == "drop" and frozen:
+            name = rng.choice(sorted(frozen))
+            cat = transitions.delete_snapshots(cat, cat["snapshot"].where(F.col("name") == name))
+            frozen.pop(name)
+        elif op == "gc":
+            cat, _ = transitions.collect_garbage(cat, spark.createDataFrame([], "hash string"))
+        cat = store.settle_all(cat, "file", "file_head", "dir", "snapshot", "snapshot_file", "chunk")
+    heads = {r.path: [c.hash for c in r.chunks] for r in cat["file_head"].join(cat["file"].select(F.col("id").alias("file_id"), "chunks"), "file_id").collect()}
+    assert heads == model
+    kept = cat["snapshot_file"].join(cat["snapshot"].select(F.col("id").alias("snapshot_id"), F.col("name").alias("snap")), "snapshot_id").join(cat["file"].select(F.col("id").alias("file_id"), "chunks"), "file_id").collect()
+    got = {s: {} for s in frozen}
+    for r in kept:
+        got[r.snap][r.path] = [c.hash for c in r.chunks]
+    assert got == frozen
+    assert invariants.broken(cat, ["wrong_refcounts", "dangling", "two_heads"]) == {}
