@@ -42,8 +42,9 @@ K = 5
 DELTA = 0.1
 PER_PARTITION = 3_000_000
 LEAST_PARTITIONS = 24
-BATCH_TOKENS = 4_000_000
+BATCH_TOKENS = 3_000_000
 _CHUNK = 1 << 21
+_SLICE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 END = np.uint64(0x5851F42D4C957F2D)
@@ -175,8 +176,11 @@ def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def _part_of(w: np.ndarray, h: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    salt = np.isin(w, hot)
-    return (_mixed(np.where(salt, w ^ (h * np.uint64(3)), w)) % np.uint64(parts)).astype(np.int64)
+    out = np.empty(len(w), np.int32)
+    for k in range(0, len(w), _SLICE):  # slices keep the intermediate arrays small
+        x, y = w[k : k + _SLICE], h[k : k + _SLICE]
+        out[k : k + _SLICE] = _mixed(np.where(np.isin(x, hot), x ^ (y * np.uint64(3)), x)) % np.uint64(parts)
+    return out
 
 
 def _occurrences(parts: int, hot: np.ndarray):
@@ -189,10 +193,11 @@ def _occurrences(parts: int, hot: np.ndarray):
         for k, (tokens, counts, ids, held_out) in enumerate(_each_batch(batches)):
             batch = (task << 24) | k
             h = _histories(tokens)
-            doc = np.repeat(np.arange(len(counts)), counts)
+            doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
             part = _part_of(tokens, h, hot, parts)
-            order = np.argsort(part.astype(np.uint16 if parts < 65536 else np.int64), kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+            order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable").astype(np.int32)
+            del part
             rows = [(batch % parts, "batch", batch, _pack(ids=ids, held_out=held_out, counts=_least(counts)), None)]
             packed_held = np.packbits(held_out)
             for p in range(parts):
