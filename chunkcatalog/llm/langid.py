@@ -180,7 +180,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def reject(docs: DataFrame, least: float = 0.34, **options) -> DataFrame:
+def reject(docs: DataFrame, least: float = 0.3, **options) -> DataFrame:
     """The rows whose language is recognised: neither ``und`` nor scored below ``least``."""
     model = fit(docs.where(~held_out("doc_id")), **options)
     return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
