@@ -27,11 +27,13 @@ no discounts (small corpora), absolute discounting is used; extra columns are ig
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ K = 5
 DELTA = 0.1
 PER_PARTITION = 3_000_000
 LEAST_PARTITIONS = 24
-BATCH_TOKENS = 3_000_000
+BATCH_BYTES = 16 << 20
 _CHUNK = 1 << 21
 _SLICE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -50,6 +52,14 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 END = np.uint64(0x5851F42D4C957F2D)
 
 
+def _release() -> None:
+    """Give freed memory back to the system: workers that wait for their next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A finalizer that spreads 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -137,17 +147,33 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _each_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
-    """Groups of documents with about ``BATCH_TOKENS`` tokens: tokens, tokens per document, doc_id, held out."""
-    tokenize, held, n = Tokenizer(), [], 0
+    """Groups of documents with about ``BATCH_BYTES`` of text: tokens, tokens per document, doc_id, held out.
+
+    Arrow batches are cut where they are larger and joined where they are smaller; one text is never cut.
+    """
+    tokenize, held, size = Tokenizer(), [], 0
+
+    def joined() -> tuple:
+        return tuple(pa.concat_arrays(c) if isinstance(c[0], pa.Array) else np.concatenate(c) for c in zip(*held, strict=True))
+
     for batch in batches:
-        tokens, counts = tokenize(batch.column(1))
-        held.append((tokens, counts, batch.column(0), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)))
-        n += len(tokens)
-        if n >= BATCH_TOKENS:
-            yield tuple(pa.concat_arrays(c) if isinstance(c[0], pa.Array) else np.concatenate(c) for c in zip(*held, strict=True))
-            held, n = [], 0
+        lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        k = 0
+        while k < batch.num_rows:
+            done = lengths[k - 1] if k else 0
+            to = max(k + 1, int(np.searchsorted(lengths, done + max(BATCH_BYTES - size, 1), side="right")))
+            part = batch.slice(k, to - k)
+            tokens, counts = tokenize(part.column(1))
+            held.append((tokens, counts, part.column(0), part.column(2).to_numpy(zero_copy_only=False).astype(bool)))
+            size += int(lengths[to - 1] - done)
+            k = to
+            if size >= BATCH_BYTES or k < batch.num_rows:
+                yield joined()
+                held, size = [], 0
+                _release()
     if held:
-        yield tuple(pa.concat_arrays(c) if isinstance(c[0], pa.Array) else np.concatenate(c) for c in zip(*held, strict=True))
+        yield joined()
+    _release()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +269,11 @@ def _count_pairs(parts: int, hot_w: np.ndarray, hot_c: np.ndarray, total: int, d
     """Step 2 for one partition of words."""
 
     def reduce(group: pa.Table) -> pa.Table:
+        out = _table(rows_of(group))
+        _release()
+        return out
+
+    def rows_of(group: pa.Table) -> list[tuple]:
         kinds = group["kind"].to_pylist()
         blobs = group["blob"]
         own = [_unpack(blobs[i].as_py()) for i, k in enumerate(kinds) if k == "words"]
@@ -310,13 +341,19 @@ def _count_pairs(parts: int, hot_w: np.ndarray, hot_c: np.ndarray, total: int, d
                     names, at = np.unique(h[pick], return_inverse=True)
                     which, b_at = np.unique(batch[pick], return_inverse=True)
                     rows.append((-1 - q, "backoffs", -1, _pack(h=names, at=_least(at), which=which, b_at=_least(b_at), doc=_least(doc[pick])), None))
-        return _table(rows)
+        return rows
 
     return reduce
 
 
 def _meet_histories(group: pa.Table) -> pa.Table:
     """Step 3: for one partition of histories, or the sums of one batch."""
+    out = _table(_met(group))
+    _release()
+    return out
+
+
+def _met(group: pa.Table) -> list[tuple]:
     part = group["part"][0].as_py()
     kinds, blobs = group["kind"].to_pylist(), group["blob"]
     if part >= 0:
@@ -328,12 +365,12 @@ def _meet_histories(group: pa.Table) -> pa.Table:
             total = now if total is None else {k: total[k] + v for k, v in now.items()}
         if total:
             rows.append((part, "docs", part, _pack(**total), None))
-        return _table(rows)
+        return rows
     rows = [(part, "counts", -1, None, x) for k, x in zip(kinds, group["nums"].to_pylist(), strict=True) if k == "counts"]
     stats = [_unpack(blobs[i].as_py()) for i, k in enumerate(kinds) if k == "histories"]
     asked = [_unpack(blobs[i].as_py()) for i, k in enumerate(kinds) if k == "backoffs"]
     if not stats or not asked:
-        return _table(rows)
+        return rows
     h = np.concatenate([x["h"] for x in stats])
     mass = np.concatenate([x["mass"] for x in stats])
     n = np.concatenate([x["n"].astype(np.int64).reshape(-1, K + 1) for x in stats])
@@ -353,7 +390,7 @@ def _meet_histories(group: pa.Table) -> pa.Table:
     for b, s, e in zip(which, firsts, [*firsts[1:], len(batch)], strict=True):
         used, place = np.unique(at[s:e], return_inverse=True)
         rows.append((int(b), "backoffs", int(b), _pack(doc=_least(doc[s:e]), at=_least(place), mass=mass[used], n=_least(n[used].ravel())), None))
-    return _table(rows)
+    return rows
 
 
 def _finish(total: int, vocabulary: int, d: np.ndarray):
