@@ -70,8 +70,14 @@ class Engine:
 
     # ---- files
 
-    def write(self, files: dict[str, bytes] | DataFrame, mtime: int, vlog_id: int = 1) -> None:
-        """Publishes whole files ``(path, data)``: cuts them into chunks, keeps new chunks once, and makes them the heads."""
+    def write(self, files: dict[str, bytes] | DataFrame, mtime: int, vlog_id: int | None = None) -> None:
+        """Publishes whole files ``(path, data)``: cuts them into chunks, keeps new chunks once, and makes them the heads.
+
+        New chunks go to the given log, or the lowest one.
+        """
+        vlog_id = vlog_id if vlog_id is not None else self.cat["vlog"].agg(F.min("id")).first()[0]
+        if vlog_id is None:
+            raise OSError("there is no log to write to")
         f = files if isinstance(files, DataFrame) else self.spark.createDataFrame(list(files.items()), "path string, data binary")
         f = f.select(paths.clean(F.col("path")).alias("path"), F.col("data").cast("binary").alias("data"))
         chunks = store.settle(byte_ops.chunk_files(f, *self.sizes, payload=True))
@@ -110,6 +116,39 @@ class Engine:
             out.append(bytes(r.data))
         return b"".join(out)[offset - (first or 0) :][: size if size is not None else None]
 
+    def write_at(self, path: str, edits: list[tuple[int, bytes]], mtime: int, size: int | None = None, vlog_id: int | None = None) -> None:
+        """Applies edits ``(offset, bytes)`` in their order to a file (or a new one), cuts or extends it to ``size``, and publishes the result once."""
+        old = b"" if self.cat["file_head"].where(F.col("path") == path).isEmpty() else self.read(path)
+        data = bytearray(old)
+        for offset, part in edits:
+            data.extend(bytes(max(0, offset + len(part) - len(data))))
+            data[offset : offset + len(part)] = part
+        if size is not None:
+            data = data[:size] + bytes(max(0, size - len(data)))
+        self.write({path: bytes(data)}, mtime, vlog_id)
+
+    def truncate(self, path: str, size: int, mtime: int) -> None:
+        self.write_at(path, [], mtime, size)
+
+    def open_write(self, path: str, key: str, at: int) -> int:
+        """An operation by its idempotency key: a new one, or the one that has the key; a key of another path is an error."""
+        batch = self.spark.createDataFrame([(key, path, at)], "idempotency_key string, path string, created_at bigint")
+        self._become({**self.cat, "write_op": transitions.create_write_ops(self.cat["write_op"], batch)}, "write_op")
+        return transitions.bind(self.cat["write_op"], batch.select("idempotency_key", "path")).first().op_id
+
+    def close_write(self, key: str, data: bytes, mtime: int) -> str:
+        """Publishes the bytes of an operation and commits it; one that has ended stays as it is. Gives its state."""
+        op = self.cat["write_op"].where(F.col("idempotency_key") == key).first()
+        if op is None:
+            raise KeyError(key)
+        if op.state == "prepared":
+            self.write({op.path: data}, mtime)
+            head = self.cat["file_head"].where(F.col("path") == paths.clean(F.lit(op.path))).first()
+            done = self.spark.createDataFrame([(op.id, head.file_id)], "id bigint, file_id bigint")
+            self._become(transitions.commit_write_ops(self.cat, done), "write_op", "vlog_lease")
+            return "committed"
+        return op.state
+
     def list_dir(self, path: str = "") -> DataFrame:
         return reads.list_dir(path, self.cat["file_head"], self.cat["file"], self.cat["dir"])
 
@@ -198,6 +237,26 @@ class Engine:
         self._become(transitions.abandon_write_ops(self.cat, gone), "write_op", "vlog_lease")
         return gone.count()
 
+    def request(self, kind: str, at: int, disk_id: int = 0, vlog_id: int = 0) -> int:
+        """A job by kind and target; one that runs already is given again."""
+        wanted = self.spark.createDataFrame([(kind, vlog_id, disk_id, at)], "kind string, target_vlog bigint, target_disk bigint, created_at bigint")
+        jobs, given = transitions.get_or_create_jobs(self.cat["job"], wanted)
+        job = given.first().id
+        self._become({**self.cat, "job": jobs}, "job")
+        return job
+
+    def run_jobs(self) -> dict[int, str]:
+        """Runs (or, after a restart, resumes) all running jobs by kind, oldest first; unknown kinds are cancelled."""
+        kinds = {"drain": lambda j: self.drain(j.target_disk), "reprotect": lambda j: self.reprotect(), "rebalance": lambda j: self.rebalance(), "compact": lambda j: self.compact()}
+        ended = {}
+        for job in reads.with_state(self.cat["job"], "running").collect():  # the jobs of one maintenance pass
+            ended[job.id] = "done" if job.kind in kinds else "cancelled"
+            if job.kind in kinds:
+                kinds[job.kind](job)
+            one = self.spark.createDataFrame([(job.id,)], "id bigint")
+            self._become({**self.cat, "job": transitions.end_jobs(self.cat["job"], one, ended[job.id])}, "job")
+        return ended
+
     def maintain(self, now: int) -> dict[str, object]:
         """One pass, in order: reprotect, rebalance, reap, collect, compact. A step that fails is reported and does not stop the others."""
         steps = {"reprotect": self.reprotect, "rebalance": self.rebalance, "reap": lambda: self.reap(now), "collect": self.collect_garbage, "compact": self.compact}

@@ -142,8 +142,8 @@ def placed_chunks(files: DataFrame, chunks: DataFrame, strict: bool = True) -> D
 def refcounts(heads: DataFrame, snapshot_files: DataFrame, files: DataFrame) -> DataFrame:
     """``(hash, refcount)``: occurrences over all heads and snapshots; a chunk twice in a file counts twice."""
     held = heads.select("file_id").unionAll(snapshot_files.select("file_id")).groupBy("file_id").agg(F.count("*").alias("times"))
-    x = chunk_list(files).groupBy("file_id", "hash").agg(F.count("*").alias("n")).join(held, "file_id")
-    return x.groupBy("hash").agg(F.sum(F.col("n") * F.col("times")).alias("refcount"))
+    used = files.select(F.col("id").alias("file_id"), "chunks").join(held, "file_id")  # only versions that something holds are unpacked
+    return used.select("times", F.explode("chunks").alias("c")).groupBy(F.col("c.hash").alias("hash")).agg(F.sum("times").alias("refcount"))
 
 
 def distinct_hashes(files: DataFrame) -> DataFrame:

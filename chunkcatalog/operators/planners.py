@@ -242,10 +242,12 @@ def lease_choice(own: DataFrame, vlogs: DataFrame, leases: DataFrame, policies:
     """
     kept = own.groupBy("op_id").agg(F.max_by("vlog_id", "ordinal").alias("own_vlog"))
     free = vlogs.join(leases.select(F.col("vlog_id").alias("id")), "id", "left_anti")
-    # Few distinct policies exist; logs are matched to those, operations to the lowest log of their policy.
-    kinds = policies.select("protection_scheme", "data_shards", "parity_shards").distinct()
-    best = free.alias("v").join(kinds.alias("p"), policy.matches_policy("v", "p")).groupBy("p.protection_scheme", "p.data_shards", "p.parity_shards").agg(F.min("v.id").alias("free_vlog"))
-    x = policies.join(kept, "op_id", "left").join(best, ["protection_scheme", "data_shards", "parity_shards"], "left")
+    # A log takes writes of one kind: staging logs of the code they are meant for, others of their own scheme.
+    staged = policy.staging(F.col("target_data_shards"), F.col("target_parity_shards"))
+    kind = F.when(staged, F.concat_ws("/", F.lit("EC"), "target_data_shards", "target_parity_shards")).when(F.col("protection_scheme") != "EC", F.concat_ws("/", "protection_scheme", "data_shards"))
+    asked = F.when(F.col("protection_scheme") == "EC", F.concat_ws("/", F.lit("EC"), "data_shards", "parity_shards")).otherwise(F.concat_ws("/", "protection_scheme", "data_shards"))
+    best = free.groupBy(kind.alias("kind")).agg(F.min("id").alias("free_vlog"))
+    x = policies.withColumn("kind", asked).join(kept, "op_id", "left").join(best, "kind", "left")
     return x.select("op_id", F.coalesce("own_vlog", "free_vlog").alias("vlog_id"), F.when(F.col("own_vlog").isNotNull(), "own").when(F.col("free_vlog").isNotNull(), "free").otherwise("provision").alias("how"))
 
 

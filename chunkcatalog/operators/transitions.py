@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chunkcatalog.functions import paths, policy
 from chunkcatalog.operators import catalog as reads
 from chunkcatalog.operators.planners import collectable
+from chunkcatalog.plans.store import settle
 
 Catalog = dict[str, DataFrame]
 
@@ -26,9 +27,17 @@ def _next_id(table: DataFrame) -> Column:
 
 
 def numbered(rows: DataFrame, table: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with ids that continue those of ``table``."""
+    """``rows`` with ids that continue those of ``table``, in order.
+
+    Rows are sorted by ranges in parallel and settled; each range's first number follows from the counts of those before.
+    """
+    local = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = local.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # one row for each range
+    before = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
     start = table.agg(_next_id(table).alias("__start"))
-    return rows.withColumn("id", F.row_number().over(W.orderBy(*order))).join(start, F.lit(True)).withColumn("id", (F.col("id") + F.col("__start")).cast("long")).drop("__start")
+    x = local.withColumn("__part", part).withColumn("__place", place).join(before, "__part").join(start, F.lit(True))
+    return x.withColumn("id", (F.col("__start") + F.col("__before") + F.col("__place") + 1).cast("long")).drop("__m", "__part", "__place", "__before", "__start")
 
 
 # ---- references

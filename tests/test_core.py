@@ -324,6 +324,18 @@ def test_engine_trace(spark, tmp_path):
     assert e.collect_garbage() > 0
     assert e.compact(planners.CompactionPolicy(least_dead=1, num=0)) == [1]
     assert all(e.read(p) == d for p, d in model.items()) and e.broken() == {}
+    op = e.open_write("d1/new", "key-1", 7)
+    assert op == e.open_write("d1/new", "key-1", 8)
+    assert e.close_write("key-1", b"first", 9) == e.close_write("key-1", b"again", 10) == "committed"
+    with pytest.raises(Exception, match="another path"):
+        e.open_write("other", "key-1", 8)
+    e.write_at("d1/new", [(3, b"XYZ12"), (10, b"end"), (4, b"__")], 11)
+    assert e.read("d1/new") == b"firX__12\0\0end"
+    e.truncate("d1/new", 6, 12)
+    assert e.read("d1/new") == b"firX__" and e.broken() == {}
+    model["d1/new"] = b"firX__"
+    job = e.request("drain", 13, disk_id=2)
+    assert job == e.request("drain", 14, disk_id=2) and e.run_jobs() == {job: "done"} and e.run_jobs() == {}
     e.set_disk_state(1, "failed")
     report = e.maintain(now=10)
     assert not any(isinstance(x, Exception) for x in report.values())
