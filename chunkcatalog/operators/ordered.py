@@ -10,24 +10,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chunkcatalog.functions import layout
+from chunkcatalog.plans.store import settle
 
 _BEFORE = (W.unboundedPreceding, -1)
 _UP_TO = (W.unboundedPreceding, 0)
 
 
-def extents(rows: DataFrame, by: list[str], order: list[str], length: str | Column, start: str = "start", end: str = "end") -> DataFrame:
-    """Adds the running ``start`` and ``end`` of each row within its group."""
-    n = F.col(length) if isinstance(length, str) else length
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(*_UP_TO)
-    return rows.withColumn(end, F.sum(n).over(w)).withColumn(start, F.col(end) - n)
-
+def extents(rows: DataFrame, by: list[str], order: list[str], length: str | Column, start: str = "start", end: str = "end", spread: bool = False) -> DataFrame:
+    """Adds the running ``start`` and ``end`` of each row within its group.
 
-def append_offsets(rows: DataFrame, by: list[str], order: list[str], length: str, used: Column, limit: int) -> DataFrame:
+    With ``spread`` a group may be far larger than a task: rows are dealt by ranges of group and order and settled, sums run inside each range,
+    and each range starts where those before it in the group end.
+    """
+    n = F.col(length) if isinstance(length, str) else length
+    if not spread:
+        w = W.partitionBy(*by).orderBy(*order).rowsBetween(*_UP_TO)
+        return rows.withColumn(end, F.sum(n).over(w)).withColumn(start, F.col(end) - n)
+    x = settle(rows.withColumn("__n", n).repartitionByRange(*by, *order).withColumn("__r", F.spark_partition_id()))
+    sums = x.groupBy(*by, "__r").agg(F.sum("__n").alias("__s"))
+    before = sums.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), F.col("__r").alias("__q"), (F.sum("__s").over(W.partitionBy(*by).orderBy("__r").rowsBetween(*_UP_TO)) - F.col("__s")).alias("__before"))
+    inside = x.withColumn("__in", F.sum("__n").over(W.partitionBy(*by, "__r").orderBy(*order).rowsBetween(*_UP_TO)))
+    same = [F.col("__r") == F.col("__q"), *(F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by))]
+    out = inside.join(before, same).withColumn(end, F.col("__before") + F.col("__in")).withColumn(start, F.col(end) - F.col("__n"))
+    return out.select(*rows.columns, end, start)
+
+
+def append_offsets(rows: DataFrame, by: list[str], order: list[str], length: str, used: Column, limit: int, spread: bool = False) -> DataFrame:
     """Places appended records behind ``used`` bytes of their group, in logs of ``limit`` bytes: ``log_no`` and ``offset``.
 
     A record goes to the log in which its running start lies; records are far smaller than logs.
     """
-    x = extents(rows, by, order, length, "__start", "__end")
+    x = extents(rows, by, order, length, "__start", "__end", spread)
     at = F.col("__start") + used
     return x.withColumn("log_no", F.floor(at / F.lit(limit))).withColumn("offset", at % limit).drop("__start", "__end")
 

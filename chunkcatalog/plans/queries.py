@@ -350,12 +350,12 @@ def bucket_policies(t: Tables) -> DataFrame:
 
 @query('SELECT source, doc_id, start, "end" FROM extents', "extents")
 def chunk_extents(t: Tables) -> DataFrame:
-    return ordered.extents(t.doc_extents, ["source"], ["doc_id"], "bytes").select("source", "doc_id", "start", "end")
+    return ordered.extents(t.doc_extents, ["source"], ["doc_id"], "bytes", spread=True).select("source", "doc_id", "start", "end")
 
 
 @query("SELECT source, doc_id, (start + 100) // 50000 AS log_no, (start + 100) % 50000 AS \"offset\" FROM extents", "extents")
 def append_offsets(t: Tables) -> DataFrame:
-    return ordered.append_offsets(t.doc_extents, ["source"], ["doc_id"], "bytes", F.lit(100), 50_000).select("source", "doc_id", "log_no", "offset")
+    return ordered.append_offsets(t.doc_extents, ["source"], ["doc_id"], "bytes", F.lit(100), 50_000, spread=True).select("source", "doc_id", "log_no", "offset")
 
 
 @query(
