@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chunkcatalog.llm.common import cut
+
 PIVOTS = 256
 PREFIX = 64
 KEEP = 0.15
@@ -35,8 +37,9 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     x = vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(finite & F.exists("v", lambda c: c != 0))
+    x = cut(x.dropDuplicates(["vec_id"]))  # read several times below
     sizes = x.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return x.where(F.size("v") == (sizes[0].d if sizes else -1)).dropDuplicates(["vec_id"])
+    return x.where(F.size("v") == (sizes[0].d if sizes else -1))
 
 
 def pivots_of(vectors: DataFrame, count: int) -> np.ndarray:
