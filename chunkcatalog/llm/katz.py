@@ -130,6 +130,15 @@ def _least(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
 
 
+def _gaps(x: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit numbers as the bytes of their gaps, byte by byte: the upper ones are nearly all 0 and compress away."""
+    return np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _from_gaps(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(x.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _pack(**arrays: object) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
 
@@ -231,7 +240,7 @@ def _occurrences(parts: int, hot: np.ndarray):
                 if len(pick):
                     words, w_at = np.unique(tokens[pick], return_inverse=True)
                     before, h_at = np.unique(h[pick], return_inverse=True)
-                    blob = _pack(words=words, w_at=_least(w_at), before=before, h_at=_least(h_at), doc=_least(np.diff(doc[pick], prepend=0)), held_out=packed_held, docs=len(counts))
+                    blob = _pack(words=_gaps(words), w_at=_least(w_at), before=_gaps(before), h_at=_least(h_at), doc=_least(np.diff(doc[pick], prepend=0)), held_out=packed_held, docs=len(counts))
                     rows.append((p, "tokens", batch, blob, None))
                 if len(rows) > 63:
                     yield from _table(rows).to_batches()
@@ -251,9 +260,9 @@ def _words_by_part(parts: int, hot: np.ndarray):
             keep = ~np.isin(w, hot)
             w, c = w[keep], c[keep]
             part = _part_of(w, w, hot, parts)
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((w, part))
             ends = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, "words", -1, _pack(w=w[order[a:b]], c=_least(c[order[a:b]])), None) for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+            rows = [(p, "words", -1, _pack(w=_gaps(w[order[a:b]]), c=_least(c[order[a:b]])), None) for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
             yield from _table(rows).to_batches()
 
     return pack
@@ -277,7 +286,7 @@ def _count_pairs(parts: int, hot_w: np.ndarray, hot_c: np.ndarray, total: int, d
         kinds = group["kind"].to_pylist()
         blobs = group["blob"]
         own = [_unpack(blobs[i].as_py()) for i, k in enumerate(kinds) if k == "words"]
-        w = np.concatenate([hot_w, *(x["w"] for x in own)])
+        w = np.concatenate([hot_w, *(_from_gaps(x["w"]) for x in own)])
         c = np.concatenate([hot_c, *(x["c"].astype(np.int64) for x in own)])
         order = np.argsort(w)
         w, c = w[order], c[order]
@@ -285,14 +294,15 @@ def _count_pairs(parts: int, hot_w: np.ndarray, hot_c: np.ndarray, total: int, d
         p_word = np.append(np.log10(np.maximum(_discounted(c, d) / max(total, 1), 1e-300)), np.log10(unknown))
         counts = np.append(c, 0)  # at -1: the unknown word
         packs = sorted((group["batch"][i].as_py(), i) for i, k in enumerate(kinds) if k == "tokens")
-        before = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unpack(blobs[i].as_py())["before"] for _, i in packs)]))
+        before = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_from_gaps(_unpack(blobs[i].as_py())["before"]) for _, i in packs)]))
         keys, docs, held = [], [], []
         for _, i in packs:
             x = _unpack(blobs[i].as_py())
-            at = np.searchsorted(w, x["words"])
-            at = np.where((at < len(w)) & (w[np.minimum(at, len(w) - 1)] == x["words"]), at, -1) if len(w) else np.full(len(x["words"]), -1)
+            words = _from_gaps(x["words"])
+            at = np.searchsorted(w, words)
+            at = np.where((at < len(w)) & (w[np.minimum(at, len(w) - 1)] == words), at, -1) if len(w) else np.full(len(words), -1)
             doc = np.cumsum(x["doc"], dtype=np.int64)
-            keys.append(at[x["w_at"]] * np.int64(len(before)) + np.searchsorted(before, x["before"])[x["h_at"]])
+            keys.append(at[x["w_at"]] * np.int64(len(before)) + np.searchsorted(before, _from_gaps(x["before"]))[x["h_at"]])
             docs.append((doc.astype(np.uint32), x["docs"]))
             held.append(np.unpackbits(x["held_out"], count=x["docs"]).astype(bool)[doc])
         rows = [(b, k, b, blobs[i].as_py(), None) for i, (k, b) in enumerate(zip(kinds, group["batch"].to_pylist(), strict=True)) if k == "batch"]
@@ -331,7 +341,7 @@ def _count_pairs(parts: int, hot_w: np.ndarray, hot_c: np.ndarray, total: int, d
             for q in range(parts):
                 pick = order[ends[q] : ends[q + 1]]
                 if len(pick):
-                    rows.append((-1 - q, "histories", -1, _pack(h=before[used][pick], mass=mass[pick], n=_least(by_class[pick].ravel())), None))
+                    rows.append((-1 - q, "histories", -1, _pack(h=_gaps(before[used][pick]), mass=mass[pick], n=_least(by_class[pick].ravel())), None))
         if lost_h:
             h, batch, doc = before[np.concatenate(lost_h)], np.concatenate(lost_batch), np.concatenate(lost_doc)
             order, ends = _by_history(parts, h)
@@ -340,7 +350,7 @@ def _count_pairs(parts: int, hot_w: np.ndarray, hot_c: np.ndarray, total: int, d
                 if len(pick):
                     names, at = np.unique(h[pick], return_inverse=True)
                     which, b_at = np.unique(batch[pick], return_inverse=True)
-                    rows.append((-1 - q, "backoffs", -1, _pack(h=names, at=_least(at), which=which, b_at=_least(b_at), doc=_least(doc[pick])), None))
+                    rows.append((-1 - q, "backoffs", -1, _pack(h=_gaps(names), at=_least(at), which=which, b_at=_least(b_at), doc=_least(doc[pick])), None))
         return rows
 
     return reduce
@@ -371,7 +381,7 @@ def _met(group: pa.Table) -> list[tuple]:
     asked = [_unpack(blobs[i].as_py()) for i, k in enumerate(kinds) if k == "backoffs"]
     if not stats or not asked:
         return rows
-    h = np.concatenate([x["h"] for x in stats])
+    h = np.concatenate([_from_gaps(x["h"]) for x in stats])
     mass = np.concatenate([x["mass"] for x in stats])
     n = np.concatenate([x["n"].astype(np.int64).reshape(-1, K + 1) for x in stats])
     order = np.lexsort((mass, h))
@@ -380,8 +390,9 @@ def _met(group: pa.Table) -> list[tuple]:
     h, mass, n = h[starts], np.add.reduceat(mass, starts), np.add.reduceat(n, starts, axis=0)
     batch = np.concatenate([x["which"][x["b_at"]] for x in asked])
     doc = np.concatenate([x["doc"].astype(np.int64) for x in asked])
-    at = np.concatenate([np.searchsorted(h, x["h"])[x["at"]] for x in asked])
-    name = np.concatenate([x["h"][x["at"]] for x in asked])
+    names = [_from_gaps(x["h"]) for x in asked]
+    at = np.concatenate([np.searchsorted(h, n)[x["at"]] for n, x in zip(names, asked, strict=True)])
+    name = np.concatenate([n[x["at"]] for n, x in zip(names, asked, strict=True)])
     known = (at < len(h)) & (h[np.minimum(at, len(h) - 1)] == name)
     batch, doc, at = batch[known], doc[known], at[known]
     order = np.lexsort((at, doc, batch))
