@@ -144,5 +144,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each group of near-duplicates; one of it where that row is repeated."""
-    groups = near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(groups, docs.doc_id.eqNullSafe(groups.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    firsts = cut(near_duplicates(docs).where("doc_id <=> component_id").select("doc_id"))
+    groups = firsts.distinct()
+    kept = docs.join(groups, docs.doc_id.eqNullSafe(groups.doc_id), "left_semi")
+    # Texts are only shuffled again where a doc_id that stays occurs more than once.
+    return kept if firsts.count() == groups.count() else kept.dropDuplicates(["doc_id"])
