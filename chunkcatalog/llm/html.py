@@ -40,19 +40,23 @@ _GOOD_TAGS = frozenset("article main".split())
 _BAD_TAGS = frozenset("nav footer aside form menu dialog button fieldset search".split())
 _GOOD_NAMES = frozenset("article articlebody post entry story main content hentry body".split())
 _BAD_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments commentlist consent contentinfo cookie cookies copyright cta dialog"
+    "ad ads adv alert complementary advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments commentlist consent contentinfo cookie cookies copyright cta dialog"
     " disclaimer disqus donate footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination paywall pager popup promo"
     " promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar topbar widget".split()
 )
 
+_BAD_STARTS = ("adsby", "advert", "comment", "cookie", "footer", "newsletter", "promo", "recommend", "sidebar", "sponsor", "subscri")
+_HEADERS = frozenset("header heading hero masthead".split())
+
 ADJACENT = 0.6
 NEAR_IN_DOM = 1.2
 
 
 def _verdict(tag: str, attributes: str) -> int:
-    """What an element says about the text inside: 1 content, -1 boilerplate, 0 nothing."""
+    """What an element says about the text inside: 1 content, -1 boilerplate, 0 nothing, 2 that it is a header of what it stands in."""
     bad = tag in _BAD_TAGS
     good = tag in _GOOD_TAGS
+    header = tag == "header"
     if attributes and tag not in ("body", "html"):
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
@@ -60,22 +64,23 @@ def _verdict(tag: str, attributes: str) -> int:
                 bad = True
             elif key in ("class", "id", "role"):
                 names = _NAME.findall(value)
-                if any(n in _BAD_NAMES for n in names):
+                if any(n in _BAD_NAMES or n.startswith(_BAD_STARTS) for n in names):
                     bad = True
                 elif any(n in _GOOD_NAMES for n in names):
                     good = True
-    return -1 if bad else int(good)
+                elif any(n in _HEADERS for n in names):
+                    header = True
+    return -1 if bad else 1 if good else 2 if header else 0
 
 
 class _Node:
     __slots__ = ("tag", "parent", "depth", "verdict", "says")
 
     def __init__(self, tag: str, parent: _Node | None, verdict: int):
+        if verdict == 2:  # a page's header is boilerplate; one inside an article belongs to it
+            verdict = 0 if parent is not None and parent.says > 0 else -1
         self.tag, self.parent, self.verdict = tag, parent, verdict
         self.depth = parent.depth + 1 if parent else 0
-        # A page's header is boilerplate; one inside an article belongs to it.
-        if tag == "header" and not verdict and (parent is None or parent.says <= 0):
-            self.verdict = verdict = -1
         self.says = verdict or (parent.says if parent else 0)
 
 

@@ -473,3 +473,15 @@ def test_minimum_cut_is_the_best_labelling():
 
 def test_entities_are_decoded_once():
     assert html_op.main_text("<article><p>&amp;lt;b&amp;gt; &#233;&nbsp;x</p></article>") == entities.unescape("&amp;lt;b&amp;gt;") + " é x"
+
+
+def test_html_of_other_templates():
+    p = "Some words make a sentence here, and then it goes on for a while to be long enough. "
+    cases = [
+        (f'<div id="header">My Site</div><div class="menu"><a href=x>a</a></div><div class="post"><h2>Title</h2><div>{p}</div></div><div class="comment-list"><p>{p}</p></div><div id="footer">(c) me</div>', ["Title", p.strip()]),
+        (f'<div class="site-header"><h1>Site</h1></div><main><h1>Title</h1><p>{p}</p><figure><img><figcaption>Cap.</figcaption></figure><pre>a  b</pre></main><div role="complementary">{p}</div>', ["Title", p.strip(), "Cap.", "a b"]),
+        (f"<body><p>{p}</p><p>Short one.</p></body>", [p.strip(), "Short one."]),
+        (f'<div class="alert alert-info">{p}</div><article><p>{p}</p><div class="newsletter-signup">{p}</div><aside>{p}</aside><p>End.</p></article><section id="comments"><article class="comment"><p>{p}</p></article></section>', [p.strip(), "End."]),
+    ]
+    for page, want in cases:
+        assert html_op.main_text(page).split("\n") == want
