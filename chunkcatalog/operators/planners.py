@@ -188,21 +188,21 @@ def rebalance(placed: DataFrame, disks: DataFrame, nodes: DataFrame, rule: Rebal
         if top[0] is None:
             break
         source, most = top
-        gap = F.lit(most) - F.col("bytes")
-        to = used.where((F.col("disk_id") != source) & (gap > rule.band)).select(F.col("disk_id").alias("to_disk"), F.col("node_id").alias("to_node"), F.col("bytes").alias("to_bytes"))
-        mine = now_at.where(F.col("disk_id") == source).select("vlog_id", "plog_id", "length").where("length > 0")
-        held = now_at.join(states.select("disk_id", "node_id"), "disk_id").select(F.col("vlog_id").alias("h_vlog"), F.col("plog_id").alias("h_plog"), F.col("node_id").alias("h_node"))
-        # Disks in order of load; the first that takes any shard is the destination, and it takes the largest that fits.
-        found = None
-        for row in to.orderBy("to_bytes", "to_disk").limit(64).collect():
-            clash = held.where(F.col("h_node") == row.to_node)
-            fits = mine.where(F.col("length") < most - row.to_bytes).join(clash, (F.col("vlog_id") == F.col("h_vlog")) & (F.col("plog_id") != F.col("h_plog")), "left_anti")
-            found = fits.orderBy(F.desc("length"), "plog_id").first()
-            if found:
-                moves.append((len(moves) + 1, found.plog_id, source, row.to_disk, found.length))
-                break
-        if not found:
+        # The lightest disk of each node, in order of load. A shard's best place is the first one outside the nodes of its log's other
+        # shards: heavier disks leave a smaller gap, so where that one does not take it, none does.
+        far = used.where((F.col("disk_id") != source) & (F.lit(most) - F.col("bytes") > rule.band))
+        light = far.groupBy("node_id").agg(F.min(F.struct("bytes", "disk_id")).alias("d")).select("node_id", F.col("d.bytes").alias("to_bytes"), F.col("d.disk_id").alias("to_disk"))
+        light = light.withColumn("rank", F.row_number().over(W.orderBy("to_bytes", "to_disk")))  # one row for each node
+        mine = now_at.where((F.col("disk_id") == source) & (F.col("length") > 0)).select("vlog_id", "plog_id", "length")
+        held = now_at.join(states.select("disk_id", "node_id"), "disk_id").select("vlog_id", F.col("plog_id").alias("h_plog"), F.col("node_id").alias("h_node"))
+        taken = mine.join(held, "vlog_id").where("h_plog <> plog_id").groupBy("plog_id").agg(F.collect_set("h_node").alias("taken"))
+        x = mine.join(taken, "plog_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>")))
+        x = x.withColumn("rank", F.explode(F.sequence(F.lit(1), F.size("taken") + 1))).join(light, "rank").where(~F.array_contains("taken", F.col("node_id")))
+        x = x.groupBy("plog_id", "length").agg(F.min(F.struct("to_bytes", "to_disk")).alias("to")).where(F.col("length") < F.lit(most) - F.col("to.to_bytes"))
+        found = x.orderBy("to.to_bytes", "to.to_disk", F.desc("length"), "plog_id").first()
+        if found is None:
             break
+        moves.append((len(moves) + 1, found.plog_id, source, found.to.to_disk, found.length))
     return spark.createDataFrame(moves, schema)
 
 
