@@ -52,9 +52,10 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every column but the last, which holds the text, and its fingerprint."""
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())], ["doc_id", "fp"])
+        texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())], [*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -131,21 +132,39 @@ def links(fps: DataFrame) -> DataFrame:
     return probes.repartition("key").sortWithinPartitions("key").mapInArrow(_edges_of_sorted, "a long, b long")
 
 
+def _rooted(marked: DataFrame) -> DataFrame:
+    """``(fp, least_id, root)`` for each fingerprint of ``marked(doc_id, fp)``, root the smallest fingerprint of its component."""
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    grouped = connected_components(links(distinct.select("fp")))
+    return distinct.join(grouped, distinct.fp == grouped.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for each row of ``docs(doc_id, text)``."""
     marked = cut(fingerprints(docs))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    grouped = connected_components(links(distinct.select("fp")))
-    rooted = distinct.join(grouped, distinct.fp == grouped.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(marked)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _first_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of ``docs`` one row for each root of ``rooted(row, doc_id, root)``: the smallest doc_id (null last), then the smallest row."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    rows = cut(rooted.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__row")))
+    kept = _with_row(docs, "__row").join(rows, "__row", "left_semi")
+    # Texts are only shuffled again where a row that stays occurs more than once.
+    repeated = rooted.join(rows, rooted.row == rows["__row"], "left_semi").count() > rows.count()
+    return (kept.dropDuplicates(["__row"]) if repeated else kept).select(docs.columns)
+
+
+def _with_row(docs: DataFrame, name: str = "row") -> DataFrame:
+    """A hash of doc_id and text names a row; repeated rows share it."""
+    return docs.withColumn(name, F.xxhash64("doc_id", "text"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each group of near-duplicates; one of it where that row is repeated."""
-    firsts = cut(near_duplicates(docs).where("doc_id <=> component_id").select("doc_id"))
-    groups = firsts.distinct()
-    kept = docs.join(groups, docs.doc_id.eqNullSafe(groups.doc_id), "left_semi")
-    # Texts are only shuffled again where a doc_id that stays occurs more than once.
-    return kept if firsts.count() == groups.count() else kept.dropDuplicates(["doc_id"])
+    """The row with the smallest doc_id of each group of near-duplicates (null last); one of it where that row is repeated."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text")
+    marked = cut(rows.mapInArrow(_fingerprints, "row long, doc_id long, fp long"))
+    return _first_rows(docs, marked.join(_rooted(marked).select("fp", "root"), "fp"))

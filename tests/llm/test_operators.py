@@ -279,6 +279,15 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_keep_one_keeps_a_row_of_each_group(spark):
+    """Groups of null ids, and one id over several texts, lose no group and leave no copy."""
+    a, b, c, d = some_texts(4, 91, 40, 40)
+    kept = lambda rows: sorted((r.doc_id or -1, r.text) for r in simhash.keep_one(docs(spark, [(i, t, "en", "s", 0) for i, t in rows])).collect())
+    assert kept([(None, a), (None, b), (None, b), (5, c)]) == sorted([(-1, a), (-1, b), (5, c)])
+    assert kept([(None, a), (None, c), (5, c)]) == sorted([(-1, a), (5, c)])
+    assert kept([(7, a), (7, b), (7, b), (3, d), (7, d)]) == sorted([(7, a), (7, b), (3, d)])
+
+
 def test_forest_spans_without_all_pairs():
     near = np.array([1 << i for i in range(40)] + [0], dtype=np.int64)
     assert len(simhash._forest(near, 3)) == 40
