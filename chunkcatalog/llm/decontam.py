@@ -17,7 +17,8 @@ benchmark's shingles and postings are broadcast only if their counted rows are f
 
 Cases: words are runs of letters and digits, lower-cased; an item of fewer than 5 words has one shingle of all its words; an item
 without words (or null) matches nothing, nor does null text; windows at a document's end are shifted to fit or, in shorter
-documents, cover it whole; repeated rows match alike, items repeated under one item_id are one; ties between windows go to the first; extra columns are ignored.
+documents, cover it whole; repeated rows match alike; every distinct text of one item_id (null too, which is reported as null) is searched, and the best
+window over them is the item's; ties between windows go to the first; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,9 +86,9 @@ def _ball(radius: int) -> list[int]:
 
 
 def prepare(items: DataFrame) -> DataFrame:
-    """``(item_id, words, n_words, k, grams)``: the items that can match, checkpointed."""
-    x = items.where("text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0")
-    x = x.select("item_id", "words", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(SHINGLE)).alias("k"))
+    """``(key, item_id, words, n_words, k, grams)``: the items that can match, checkpointed; ``key`` is a hash of item_id and text."""
+    x = items.where("text IS NOT NULL").select("item_id", "text").distinct().select(F.xxhash64("item_id", "text").alias("key"), "item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0")
+    x = x.select("key", "item_id", "words", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(SHINGLE)).alias("k"))
     return cut(x.withColumn("grams", _shingles(F.col("words"), F.col("k"))))
 
 
@@ -97,23 +98,23 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``(row, n, item_id, n_words, k, pos)``: places from which a window may match an item. ``docs(row, text)``."""
+    """``(row, n, item, n_words, k, pos)``: places from which a window may match an item. ``docs(row, text)``."""
     sizes = [r.k for r in items.select("k").distinct().collect()]  # five values at most
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "row long, n int, item_id long, n_words int, k int, pos int")
+        return docs.sparkSession.createDataFrame([], "row long, n int, item long, n_words int, k int, pos int")
 
     def every(words: DataFrame, of_items: bool) -> DataFrame:
         parts = [_places(words.where(F.col("k") == k) if of_items else words, k).withColumn("size", F.lit(k)) for k in sizes]
         return functools.reduce(DataFrame.union, parts)
 
-    grams = every(items.select("item_id", "n_words", "k", "words"), True).select("item_id", "n_words", "k", F.col("h").alias("ih")).distinct()
+    grams = every(items.select(F.col("key").alias("item"), "n_words", "k", "words"), True).select("item", "n_words", "k", F.col("h").alias("ih")).distinct()
     grams = _bounded(cut(grams))
     found = every(docs.select("row", words_of(F.col("text")).alias("words")), False)
-    hit = found.join(grams, (F.col("h") == F.col("ih")) & (F.col("size") == F.col("k"))).select("row", "n", "item_id", "n_words", "k", "pos").distinct()
+    hit = found.join(grams, (F.col("h") == F.col("ih")) & (F.col("size") == F.col("k"))).select("row", "n", "item", "n_words", "k", "pos").distinct()
     span = F.col("n_words") - F.col("k") + 1
     hit = hit.withColumn("place", F.floor(F.col("pos").cast("long") * _SCALE / span)).withColumn("need", F.ceil(span * SIMILARITY - 1e-9))
-    near = F.expr(f"count(*) OVER (PARTITION BY row, item_id ORDER BY place RANGE BETWEEN CURRENT ROW AND {_SCALE} FOLLOWING)")
-    return hit.withColumn("near", near).where("near >= need").select("row", "n", "item_id", "n_words", "k", "pos")
+    near = F.expr(f"count(*) OVER (PARTITION BY row, item ORDER BY place RANGE BETWEEN CURRENT ROW AND {_SCALE} FOLLOWING)")
+    return hit.withColumn("near", near).where("near >= need").select("row", "n", "item", "n_words", "k", "pos")
 
 
 def _similarity(a: Column, b: Column) -> Column:
@@ -135,16 +136,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) ->
     windows = cut(windows)
     key = ["row", "n_words", "start"]
     marked = _simhash(windows.select(*key, F.explode("grams").alias("g")).select(*key, F.xxhash64("g").alias("h")), key)
-    item_fp = _simhash(items.select("item_id", F.explode("grams").alias("g")).select("item_id", F.xxhash64("g").alias("h")), ["item_id"]).join(items.select("item_id", F.col("n_words").alias("iw")), "item_id")
+    item_fp = _simhash(items.select(F.col("key").alias("item"), F.explode("grams").alias("g")).select("item", F.xxhash64("g").alias("h")), ["item"]).join(items.select(F.col("key").alias("item"), F.col("n_words").alias("iw")), "item")
     ball = F.array(*map(F.lit, _ball(RADIUS // BLOCKS)))
     posted = None
     for b in range(BLOCKS):
-        part = item_fp.select("item_id", F.col("fp").alias("ifp"), "iw", F.lit(b).alias("block"), F.explode(F.transform(ball, _flipped(b))).alias("value"))
+        part = item_fp.select("item", F.col("fp").alias("ifp"), "iw", F.lit(b).alias("block"), F.explode(F.transform(ball, _flipped(b))).alias("value"))
         posted = part if posted is None else posted.union(part)
     posted = _bounded(cut(posted))
     asked = marked.select(*key, "fp", F.posexplode(F.array(*(_block(b).cast("int") for b in range(BLOCKS)))).alias("b", "v"))
-    near = asked.join(posted, (asked.b == posted.block) & (asked.v == posted.value) & (asked.n_words == posted.iw)).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*key, "item_id").distinct()
-    pairs = near.join(windows, key).join(items.select("item_id", F.col("grams").alias("item_grams")), "item_id")
+    near = asked.join(posted, (asked.b == posted.block) & (asked.v == posted.value) & (asked.n_words == posted.iw)).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*key, "item").distinct()
+    pairs = near.join(windows, key).join(items.select(F.col("key").alias("item"), "item_id", F.col("grams").alias("item_grams")), "item")
     pairs = pairs.select("row", "item_id", "start", _similarity(F.col("grams"), F.col("item_grams")).alias("similarity")).where(F.col("similarity") >= least)
     best = pairs.groupBy("row", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best"))
     return best.select("row", "item_id", (-F.col("best.s")).alias("start"), F.col("best.similarity").alias("similarity"))

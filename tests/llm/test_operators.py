@@ -342,6 +342,16 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_every_text_of_an_item_is_searched(spark):
+    """Texts that share an item_id, or have none, are each found; of one item the best window is reported."""
+    a, b, c, d = some_texts(4, 78, 30, 30)
+    table = docs(spark, [(1, f"x {a}", "en", "s", 0), (2, f"x y {b}", "en", "s", 0), (3, f"z {c}", "en", "s", 0), (4, f"z z {d}", "en", "s", 0), (5, "nothing of it here at all", "en", "s", 0), (6, f"{a} {b}", "en", "s", 0)])
+    bench = spark.createDataFrame([(9, a), (9, b), (9, b), (None, c), (None, d)], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.start, r.similarity) for r in decontam.contaminated(table, bench).collect()]
+    assert sorted(got, key=lambda r: r[0]) == [(1, 9, 1, 1.0), (2, 9, 2, 1.0), (3, None, 1, 1.0), (4, None, 2, 1.0), (6, 9, 0, 1.0)]
+    assert [r.doc_id for r in decontam.clean(table, bench).collect()] == [5]
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     text = some_texts(1, 77, 30, 30)[0]
