@@ -16,6 +16,7 @@ doc_id take part, and a group of nothing but those has a null component; extra c
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -31,18 +32,29 @@ SHINGLE_WORDS = 3
 RADIUS = 3
 SEED = 42
 _SLICE = 1 << 16
+BROADCAST_ROWS = 400_000
 
 
-def fingerprint(text: bytes | None) -> int:
-    """SimHash of one text given in UTF-8, as a signed 64-bit number."""
+def _hashes(text: bytes | None, shingle_words: int) -> np.ndarray:
+    """XXH64 of each shingle of one text given in UTF-8."""
     words = (text or b"").lower().split()  # for bytes: A-Z only, and words [^\x20\x09-\x0D]+
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
-    span = min(SHINGLE_WORDS, len(words))
+    span = min(shingle_words, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[i : j - 1], SEED) for i, j in zip(starts, starts[span:], strict=False)), dtype=np.uint64)
+    return np.fromiter((digest(joined[i : j - 1], SEED) for i, j in zip(starts, starts[span:], strict=False)), dtype=np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """SimHash of one text given in UTF-8, as a signed 64-bit number."""
+    return _simhash(_hashes(text, shingle_words))
+
+
+def _simhash(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), _SLICE):
         part = hashes[k : k + _SLICE]
@@ -168,3 +180,217 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text")
     marked = cut(rows.mapInArrow(_fingerprints, "row long, doc_id long, fp long"))
     return _first_rows(docs, marked.join(_rooted(marked).select("fp", "root"), "fp"))
+
+
+# Groups at an exact similarity. A SimHash radius that covers Jaccard 0.8 (10 bits expected, 3 deviation) lets through a
+# few hundredths of all pairs, so within the radius SimHash finds the bulk of the copies, and what lies beyond it is found by
+# the prefix filter, which leaves out no pair: ordered by frequency, two sets at the threshold share a shingle among their first
+# n - ceil(least * n) + 1, at places whose rest still reaches the needed overlap. All pairs are verified on the whole sets.
+_COUNTERS = 1 << 20
+_DIRECT = 8  # Longer lists are first linked to a few members, and then only across the components so found.
+_STARS = 8
+_PAIRS = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+_POSTED = pa.schema([_PAIRS.field(k) for k in (0, 1, 3, 4)])
+_PAIRS_DDL = "key long, sid long, other long, n int, pos int"
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    for batch in batches:
+        yield batch, batch.column(batch.num_columns - 1).cast(pa.large_binary()).to_pylist()
+
+
+def _sid(grams: np.ndarray) -> int:
+    """Names a set of shingles, given in order."""
+    return xxhash.xxh64_intdigest(grams.tobytes(), SEED) - (1 << 63)
+
+
+def _counted(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_COUNTERS, dtype=np.int64)
+        for batch, texts in _texts(batches):
+            sids, fps, sizes = [], [], []
+            for t in texts:
+                hashes = _hashes(t, words)
+                grams = np.unique(hashes)
+                np.add.at(counts, (grams % _COUNTERS).astype(np.int64), 1)
+                sids.append(_sid(grams))
+                fps.append(_simhash(hashes))
+                sizes.append(len(grams))
+            yield _marked([*batch.columns[:2], pa.array(sids, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(len(texts), pa.binary())])
+        for k in range(0, _COUNTERS, 1 << 16):
+            yield _marked([pa.array([k], pa.int64()), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())), pa.array([zlib.compress(counts[k : k + (1 << 16)].tobytes(), 1)], pa.binary())])
+
+    return run
+
+
+def _marked(columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "sid", "fp", "n", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(c), dtype=np.int64)
+    for k, c in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([c.tobytes()], pa.binary())], ["row", "counts"])
+
+
+def _needed(a, b, least: float):
+    return np.ceil(least / (1 + least) * (a + b) - 1e-9)
+
+
+def _posted(words: int, least: float, order):
+    """Each set under the first shingles of its prefix; ``pos`` is a shingle's place in the order by frequency."""
+
+    def parts(batches):
+        counts = order.value
+        for _, texts in _texts(batches):
+            for t in texts:
+                grams = np.unique(_hashes(t, words))
+                if not (n := len(grams)):
+                    continue
+                first, sid = grams[np.lexsort((grams, counts[(grams % _COUNTERS).astype(np.int64)]))], _sid(grams)
+                k = int(n - np.ceil(least * n - 1e-9)) + 1
+                yield first[:k].view(np.int64), np.full(k, sid), np.full(k, n, dtype=np.int32), np.arange(k, dtype=np.int32)
+
+    return lambda batches: _batched(parts(batches), _POSTED)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of each run of one key; rows come ordered by it, and a run may span batches."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        starts = np.concatenate([[0], np.flatnonzero(now[0][1:] != now[0][:-1]) + 1, [len(now[0])]])
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            part = tuple(x[a:b] for x in now)
+            if held and held[0][0][0] != part[0][0]:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True)) if len(held) > 1 else held[0]
+                held = []
+            held.append(part)
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True)) if len(held) > 1 else held[0]
+
+
+def _batched(parts: Iterator[tuple[np.ndarray, ...]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+    for p in parts:
+        held.append(p)
+        rows += len(p[0])
+        if rows > _SLICE:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            held, rows = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _across(i: int, others: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, least: float) -> np.ndarray:
+    """Those of ``others`` that may reach the threshold with row ``i`` if this key is the first that both have."""
+    return others[np.minimum(n[i] - pos[i], n[others] - pos[others]) >= _needed(n[i], n[others], least)]
+
+
+def _first_pass(least: float):
+    """Pairs of short lists (pos -1), and of long ones with a few members; long lists are passed on (other = sid)."""
+
+    def parts(batches):
+        for key, sid, n, pos in _runs(batches):
+            if len(key) > 1:  # repeated rows
+                once = np.unique(sid, return_index=True)[1]
+                key, sid, n, pos = key[once], sid[once], n[once], pos[once]
+            m = len(sid)
+            if m < 2:
+                continue
+            if m <= _DIRECT:
+                wanted = [(i, np.arange(i + 1, m)) for i in range(m - 1)]
+            else:
+                yield key, sid, sid, n, pos
+                mixed = (sid ^ key).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                centre = int(np.argmin(mixed))
+                linked = mixed % np.maximum(1, (n * (1 - least) / _STARS)).astype(np.uint64) == 0
+                linked[centre] = False
+                wanted = [(centre, np.flatnonzero(linked))]
+            for i, others in wanted:
+                near = _across(i, others, sid, n, pos, least)
+                if len(near):
+                    yield key[near], np.minimum(sid[i], sid[near]), np.maximum(sid[i], sid[near]), n[near], np.full(len(near), -1, dtype=np.int32)
+
+    return lambda batches: _batched(parts(batches), _PAIRS)
+
+
+def _second_pass(least: float):
+    """Pairs of rows of one long list that are in different components (column other)."""
+
+    def parts(batches):
+        for key, sid, root, n, pos in _runs(batches):
+            roots, place, sizes = np.unique(root, return_inverse=True, return_counts=True)
+            if len(roots) < 2:
+                continue
+            rank = np.empty(len(roots), dtype=np.int64)
+            rank[np.argsort(sizes, kind="stable")] = np.arange(len(roots))
+            rank = rank[place]
+            by_rank = np.argsort(rank, kind="stable")
+            ends = np.searchsorted(rank[by_rank], rank, side="right")
+            for i in np.flatnonzero(rank < len(roots) - 1):  # members of the largest component are met by all others
+                near = _across(i, by_rank[ends[i] :], sid, n, pos, least)
+                if len(near):
+                    yield key[near], np.minimum(sid[i], sid[near]), np.maximum(sid[i], sid[near]), n[near], np.full(len(near), -1, dtype=np.int32)
+
+    return lambda batches: _batched(parts(batches), _PAIRS)
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _texts(batches):
+            for k in range(0, len(texts), 256):
+                sets = [np.unique(_hashes(t, words)).view(np.int64) for t in texts[k : k + 256]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 256), pa.array(sets, pa.list_(pa.int64()))], ["sid", "grams"])
+
+    return run
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """Broadcast a checkpointed table if it is small enough to be."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets have a Jaccard similarity of at least ``least``. ``reps(sid, row)`` has a row for each set."""
+    pairs = cut(pairs.distinct())
+    asked = cut(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps, "sid"))
+    sets = cut(rows.join(_bounded(asked), "row").select("sid", "text").mapInArrow(_sets(shingle_words), "sid long, grams array<bigint>").dropDuplicates(["sid"]))
+    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return cut(both.where(shared >= least * (F.size("ga") + F.size("gb") - shared) - 1e-9).select("a", "b"))
+
+
+def keep_one_similar(docs: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """As ``keep_one``, for the groups that pairs with a Jaccard similarity of at least ``least`` on their shingles form."""
+    sc = docs.sparkSession.sparkContext
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text")
+    found = cut(rows.mapInArrow(_counted(shingle_words), "row long, doc_id long, sid long, fp long, n int, counts binary"))
+    marked = found.where("counts IS NULL").select("row", "doc_id", "sid", "fp")
+    counts = np.zeros(_COUNTERS, dtype=np.int64)
+    for r in found.where("counts IS NOT NULL").select("row", "counts").repartition("row").mapInArrow(_summed, "row long, counts binary").toLocalIterator():
+        counts[r.row : r.row + (1 << 16)] = np.frombuffer(r.counts, dtype=np.int64)
+    order = sc.broadcast(counts)
+    reps = cut(marked.groupBy("sid").agg(F.min("row").alias("row"), F.min("fp").alias("fp")))
+    copies = cut(marked.select("row").join(reps, "row", "left_anti"))
+    posted = rows.join(_bounded(copies), "row", "left_anti").select("text").mapInArrow(_posted(shingle_words, least, order), "key long, sid long, n int, pos int")
+    lists = cut(posted.repartition("key").sortWithinPartitions("key").mapInArrow(_first_pass(least), _PAIRS_DDL))
+    by_fp = links(reps.select("fp").distinct())
+    of_fp = reps.groupBy("fp").agg(F.min("sid").alias("sid"))
+    linked = by_fp.join(of_fp.select(F.col("fp").alias("a"), F.col("sid").alias("sa")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("sid").alias("sb")), "b").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
+    first = lists.where("pos < 0").select(F.col("sid").alias("a"), F.col("other").alias("b")).union(linked)
+    reps = reps.select("sid", "row")
+    edges = _verified(rows, reps, first, shingle_words, least)
+    long_lists = lists.where("pos >= 0")
+    roots = cut(connected_components(edges))
+    again = long_lists.join(roots, long_lists.sid == roots.node, "left").select("key", "sid", F.coalesce("root", "sid").alias("other"), "n", "pos")
+    rest = cut(again.repartition("key").sortWithinPartitions("key").mapInArrow(_second_pass(least), _PAIRS_DDL))
+    if not rest.isEmpty():
+        more = _verified(rows, reps, rest.select(F.col("sid").alias("a"), F.col("other").alias("b")), shingle_words, least)
+        roots = cut(connected_components(edges.union(more)))
+    return _first_rows(docs, marked.join(roots, marked.sid == roots.node, "left").select("row", "doc_id", F.coalesce("root", "sid").alias("root")))

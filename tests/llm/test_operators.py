@@ -288,6 +288,39 @@ def test_keep_one_keeps_a_row_of_each_group(spark):
     assert kept([(7, a), (7, b), (7, b), (3, d), (7, d)]) == sorted([(7, a), (7, b), (3, d)])
 
 
+def test_keep_one_similar(spark):
+    """Against all pairs, with groups of near copies about the threshold, long lists, copies and empty texts."""
+    rng = random.Random(31)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(some_texts(60, 41, 1, 80))]
+    for g in range(12):
+        base = some_texts(1, 700 + g, 60, 100)[0].split()
+        for _ in range(25 if g == 0 else 4):
+            words = list(base)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = f"new{rng.randint(0, 99)}"
+            rows.append((100 + len(rows), " ".join(words), "en", "s", 0))
+    rows += [(900, "", "en", "s", 0), (901, None, "en", "s", 0), (None, rows[5][1], "en", "s", 0), (None, "alone of all", "en", "s", 0)]
+    sets = []
+    for r in rows:
+        w = (r[1] or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    beyond = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                beyond += (slow_fingerprint(rows[a][1]) ^ slow_fingerprint(rows[b][1])).bit_count() > 3
+                old, new = root[a], root[b]
+                root = [new if x == old else x for x in root]
+    want = {}
+    for k, r in enumerate(rows):
+        want[root[k]] = min(want.get(root[k], 10**9), 10**9 if r[0] is None else r[0])
+    table = docs(spark, rows)
+    got = simhash.keep_one_similar(table, shingle_words=5, least=0.8)
+    assert got.columns == table.columns and beyond > 20
+    assert sorted(10**9 if r.doc_id is None else r.doc_id for r in got.collect()) == sorted(want.values())
+
+
 def test_forest_spans_without_all_pairs():
     near = np.array([1 << i for i in range(40)] + [0], dtype=np.int64)
     assert len(simhash._forest(near, 3)) == 40
