@@ -28,7 +28,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkcatalog.llm.common import cut
+from chunkcatalog.llm.common import cut, row_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -87,7 +87,7 @@ def _ball(radius: int) -> list[int]:
 
 def prepare(items: DataFrame) -> DataFrame:
     """``(key, item_id, words, n_words, k, grams)``: the items that can match, checkpointed; ``key`` is a hash of item_id and text."""
-    x = items.where("text IS NOT NULL").select("item_id", "text").distinct().select(F.xxhash64("item_id", "text").alias("key"), "item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0")
+    x = items.where("text IS NOT NULL").select("item_id", "text").distinct().select(row_key("item_id", "text").alias("key"), "item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0")
     x = x.select("key", "item_id", "words", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(SHINGLE)).alias("k"))
     return cut(x.withColumn("grams", _shingles(F.col("words"), F.col("k"))))
 
@@ -101,7 +101,8 @@ def anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``(row, n, item, n_words, k, pos)``: places from which a window may match an item. ``docs(row, text)``."""
     sizes = [r.k for r in items.select("k").distinct().collect()]  # five values at most
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "row long, n int, item long, n_words int, k int, pos int")
+        none = lambda t: F.lit(None).cast(t)
+        return docs.where("false").select("row", none("int").alias("n"), row_key("text").alias("item"), none("int").alias("n_words"), none("int").alias("k"), none("int").alias("pos"))
 
     def every(words: DataFrame, of_items: bool) -> DataFrame:
         parts = [_places(words.where(F.col("k") == k) if of_items else words, k).withColumn("size", F.lit(k)) for k in sizes]
@@ -117,10 +118,13 @@ def anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
     return hit.withColumn("near", near).where("near >= need").select("row", "n", "item", "n_words", "k", "pos")
 
 
-def _similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two arrays as multisets."""
-    shared = F.aggregate(F.array_distinct(b), F.lit(0), lambda t, g: t + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))))
-    return shared / (F.size(a) + F.size(b) - shared)
+def _similarities(near: DataFrame, windows: DataFrame, items: DataFrame, key: list[str]) -> DataFrame:
+    """``near(key, item)`` with ``item_id`` and the weighted Jaccard ``similarity`` of the window's and the item's shingles as multisets."""
+    held = windows.select(*key, F.size("grams").alias("window_size"), F.explode("grams").alias("g")).groupBy(*key, "window_size", "g").agg(F.count("*").alias("c"))
+    wanted = items.select(F.col("key").alias("item"), "item_id", F.size("grams").alias("item_size"), F.explode("grams").alias("g")).groupBy("item", "item_id", "item_size", "g").agg(F.count("*").alias("ic"))
+    both = near.join(held, key).join(wanted, ["item", "g"])
+    shared = both.groupBy(*key, "item", "item_id", "window_size", "item_size").agg(F.sum(F.least("c", "ic")).alias("shared"))
+    return shared.select(*key, "item_id", (F.col("shared") / (F.col("window_size") + F.col("item_size") - F.col("shared"))).alias("similarity"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -145,15 +149,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) ->
     posted = _bounded(cut(posted))
     asked = marked.select(*key, "fp", F.posexplode(F.array(*(_block(b).cast("int") for b in range(BLOCKS)))).alias("b", "v"))
     near = asked.join(posted, (asked.b == posted.block) & (asked.v == posted.value) & (asked.n_words == posted.iw)).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*key, "item").distinct()
-    pairs = near.join(windows, key).join(items.select(F.col("key").alias("item"), "item_id", F.col("grams").alias("item_grams")), "item")
-    pairs = pairs.select("row", "item_id", "start", _similarity(F.col("grams"), F.col("item_grams")).alias("similarity")).where(F.col("similarity") >= least)
+    pairs = _similarities(near, windows, items, key).where(F.col("similarity") >= least)
     best = pairs.groupBy("row", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best"))
     return best.select("row", "item_id", (-F.col("best.s")).alias("start"), F.col("best.similarity").alias("similarity"))
 
 
 def with_row(docs: DataFrame) -> DataFrame:
     """A hash of doc_id and text names a row; repeated rows share it."""
-    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    return docs.withColumn("row", row_key("doc_id", "text"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ chunks of slots and hashed runs of documents, so no source is ordered in one tas
 equi-join on cells of [0, 1). The table of sources alone is ordered as a whole: one row for each source.
 
 Cases: null text has size 0 and is never taken; a null source is a source of its own, the last; repeated rows and
-repeated doc_id keep a row each; ties in the shuffle go by doc_id and size; an empty table gives no rows.
+repeated doc_id keep a row each, also in ``taken_documents``; ties in the shuffle go by doc_id and size; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chunkcatalog.llm.common import cut
+from chunkcatalog.llm.common import cut, row_key
 
-GOLDEN = 0.6180339887498949
+GOLDEN = 0x9E3779B97F4A7C15  # 2**64 divided by the golden ratio
 CELLS = 1024
 SLOT_CHUNK = 4096
 RUN_DOCS = 2000
@@ -59,6 +59,19 @@ def cyclic_weights(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), place + 1))
 
 
+def _point(slot: Column) -> Column:
+    """Fractional part of slot / golden ratio, by integers modulo 2**64: the upper and the lower 32 bits of the product are summed apart."""
+    mask = F.lit(0xFFFFFFFF)
+    half = (1 << 31) - 1
+    upper, lower = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for digit, step in ((slot.bitwiseAND(F.lit(half)), GOLDEN), (F.shiftright(slot, 31), (GOLDEN << 31) & ((1 << 64) - 1))):
+        product = digit * F.lit(step & 0xFFFFFFFF)
+        upper += (digit * F.lit(step >> 32)).bitwiseAND(mask) + F.shiftrightunsigned(product, 32)
+        lower += product.bitwiseAND(mask)
+    upper = (upper + F.shiftrightunsigned(lower, 32)).bitwiseAND(mask)
+    return (upper + lower.bitwiseAND(mask) / F.lit(float(1 << 32))) / F.lit(float(1 << 32))
+
+
 def schedule(plan: DataFrame, block: int) -> DataFrame:
     """Slots ``(slot, source, rank)`` for ``plan(source, target)``; the same plan gives the same slots."""
     spark = plan.sparkSession
@@ -68,8 +81,7 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     arcs = plan.where("target > 0").withColumn("hi", F.sum("target").over(order.rowsBetween(W.unboundedPreceding, 0)) / F.lit(total or 1.0))
     arcs = arcs.select("source", "target", F.coalesce(F.lag("hi").over(order), F.lit(0.0)).alias("lo"), F.when(F.lead("hi").over(order).isNull(), F.lit(2.0)).otherwise(F.col("hi")).alias("hi"))
     celled = arcs.select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
-    point = F.col("slot") * F.lit(GOLDEN)
-    slots = spark.range(n).select(F.col("id").alias("slot")).withColumn("point", point - F.floor(point)).withColumn("cell", F.floor(F.col("point") * CELLS))
+    slots = spark.range(n).select(F.col("id").alias("slot")).withColumn("point", _point(F.col("slot"))).withColumn("cell", F.floor(F.col("point") * CELLS))
     placed = slots.join(celled, "cell").where("point >= lo AND point < hi").select("slot", "source", F.floor(F.col("slot") / SLOT_CHUNK).alias("chunk"))
     counts = placed.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     before = counts.withColumn("base", F.sum("n").over(W.partitionBy("source").orderBy("chunk")) - F.col("n")).select(F.col("source").alias("s"), F.col("chunk").alias("c"), "base")
@@ -81,29 +93,29 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     return ranked.union(closing)
 
 
-def stream(sized: DataFrame, seed: int) -> DataFrame:
-    """``sized(row columns, source, size)`` with ``start``, each row's place in its source's shuffled token stream."""
+def stream(sized: DataFrame, seed: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``sized(row columns, source, size)`` with ``start``, each row's place in its source's shuffled token stream; ``ties`` are columns that order rows of one doc_id and size."""
     runs = max(1, sized.count() // RUN_DOCS)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     x = sized.where("size > 0").withColumn("key", key).withColumn("run", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(runs) / F.lit(1 << 32)).cast("long"))
-    inside = W.partitionBy("source", "run").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "run").orderBy("key", "doc_id", "size", *ties).rowsBetween(W.unboundedPreceding, 0)
     x = x.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
     sums = x.groupBy("source", "run").agg(F.sum("size").alias("n"))
     sums = sums.select(F.col("source").alias("s"), F.col("run").alias("r"), (F.sum("n").over(W.partitionBy("source").orderBy("run")) - F.col("n")).alias("base"))
     return x.join(sums, x.source.eqNullSafe(sums.s) & (x.run == sums.r)).withColumn("start", F.col("base") + F.col("inside")).drop("key", "run", "inside", "s", "r", "base")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, block: int = 256, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, block: int = 256, seed: int = 42, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The plan and its pieces.
 
-    Returns ``sized(doc_id, source, size, start, source_size, target)``, a row for each document, and
+    Returns ``sized(doc_id, source, size, carried columns, start, source_size, target)``, a row for each document, and
     ``pieces(slot, source, rank, start, piece_from, piece_words)``: the words of the document at ``start`` that a slot takes.
     """
-    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *carried))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = cut(targets(cyclic_weights(per_source, weights), share, max_repeats)).select("source", "source_size", "target")
     p = plan.withColumnRenamed("source", "s")
-    placed = cut(stream(sized, seed))
+    placed = cut(stream(sized, seed, carried))
     nothing = sized.where("size = 0").withColumn("start", F.lit(None).cast("long"))
     rows = placed.unionByName(nothing)
     rows = rows.join(p, rows.source.eqNullSafe(p.s)).drop("s")
@@ -118,18 +130,27 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     return rows, pieces
 
 
-def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)`` for each document."""
-    rows, pieces = mix(docs, **options)
+def mixed_documents(docs: DataFrame, carried: tuple[str, ...] = (), **options: object) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken)`` for each document, beside the ``carried`` columns of ``docs``."""
+    rows, pieces = mix(docs, carried=carried, **options)
     taken = pieces.groupBy(F.col("source").alias("s"), F.col("start").alias("at")).agg(F.sum("piece_words").alias("taken"))
-    return rows.join(taken, rows.source.eqNullSafe(taken.s) & (rows.start == taken["at"]), "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    joined = rows.join(taken, rows.source.eqNullSafe(taken.s) & (rows.start == taken["at"]), "left")
+    return joined.select("doc_id", "source", "size", *carried, "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def taken_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs`` that the mix takes words of, with ``size``, ``source_size``, ``target`` and ``taken``.
 
-    Rows that share a doc_id share its numbers, so doc_id should be unique here.
+    Rows meet their numbers by a hash of all columns. Rows that share doc_id but not all else are told apart by it; of rows equal
+    throughout one stands for all, and comes once for each of them that is taken.
     """
     added = ["size", "source_size", "target", "taken"]
-    plan = mixed_documents(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), *added)
-    return docs.drop(*added).join(plan, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    keyed = docs.drop(*added)
+    keyed = keyed.withColumn("__key", row_key(*keyed.columns))
+    plan = cut(mixed_documents(keyed, carried=("__key",), **options).select("__key", *added))
+    repeated = cut(plan.groupBy("__key").count().where("count > 1").select("__key"))
+    plan = plan.where("taken > 0")
+    if repeated.isEmpty():
+        return keyed.join(plan, "__key").drop("__key")
+    once = keyed.join(repeated, "__key", "left_anti").unionByName(keyed.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
+    return once.join(plan, "__key").drop("__key")

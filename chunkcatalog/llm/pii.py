@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkcatalog.llm.common import cut
+from chunkcatalog.llm.common import cut, row_key
 
 # What counts as each kind. Possessive quantifiers stand where giving back cannot help a match.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -154,7 +154,7 @@ def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float
 
     ``row`` is a hash of doc_id and text, ``terms`` an array of ``(start, end, act)`` with act ``remove`` or ``generalise``.
     """
-    rows = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = docs.select("doc_id", "text").withColumn("row", row_key("doc_id", "text"))
     marked = cut(with_base_spans(rows).select("row", "doc_id", "base", around(reach).alias("around")))  # patterns run over the texts once
     near = contexts(marked)
     risky = disclosures(docs, near, support).where(F.col("disclosure") >= generalise_at).withColumn("act", F.when(F.col("disclosure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise")))
@@ -169,7 +169,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("by")))
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["act"] == "remove", "").otherwise("[TERM]").alias("by")))
-    x = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(spans.withColumnRenamed("row", "__row"), "__row", "left").withColumn("__cuts", F.sort_array(F.concat(base, terms)))
+    x = docs.withColumn("__row", row_key("doc_id", "text")).join(spans.withColumnRenamed("row", "__row"), "__row", "left").withColumn("__cuts", F.sort_array(F.concat(base, terms)))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
