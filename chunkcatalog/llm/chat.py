@@ -56,13 +56,19 @@ def _text_length(segment: Column) -> Column:
     return F.length(segment) - _text_start(segment) + 1 - len(_TEXT_END)
 
 
-def parse(formatted: Column) -> Column:
-    """Array of ``(role, text)``; a field that breaks the grammar is null."""
+def _turn(segment: Column) -> Column:
+    """``(role, text)`` of one segment, or null where it is no turn: every marker must stand in its place, and fields hold no control string."""
+    text = F.substr(segment, _text_start(segment), F.greatest(_text_length(segment), F.lit(0)))
+    marked = F.startswith(segment, F.lit(_OPEN)) & F.endswith(segment, F.lit(_TEXT_END)) & F.contains(segment, F.lit(_ROLE_END)) & (_text_length(segment) >= 0)
+    plain = ~_role(segment).rlike(CONTROL) & ~text.rlike(CONTROL)
+    return F.when(marked & plain, F.struct(unescape(_role(segment)).alias("role"), unescape(text).alias("text")))
 
-    def plain(x: Column) -> Column:
-        return F.when(~x.rlike(CONTROL), unescape(x))
 
-    return F.transform(_segments(formatted), lambda s: F.struct(plain(_role(s)).alias("role"), plain(F.substr(s, _text_start(s), _text_length(s))).alias("text")))
+def parse(formatted: Column) -> Column:
+    """Array of ``(role, text)``, or null for what is no sentence of the grammar: a turn that is none, or something behind the last one."""
+    turns = F.transform(_segments(formatted), _turn)
+    whole = (formatted == "") | F.endswith(formatted, F.lit(_CLOSE))
+    return F.when(whole & ~F.exists(turns, lambda t: t.isNull()), turns)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver's JVM and Python give back what earlier jobs left; dead shuffles and broadcasts are then cleaned everywhere."""
+    gc.collect()
+    spark._jvm.System.gc()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as ``edges(a, b)`` of longs: rows ``(node, root)``, root the smallest node.
 

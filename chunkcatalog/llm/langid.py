@@ -3,7 +3,7 @@
 Text is cut into windows of ``WINDOW`` bytes, the last one padded with zeros. Each byte is embedded, filters of widths
 2, 3 and 4 slide over the window, each filter's maximum over the window is taken (max pooling), and a softmax layer
 gives the probabilities of the languages. The document's probabilities are the mean over all its windows. The network is trained in
-numpy, by Adam, on windows of a bounded sample of labelled rows (``max_rows``).
+numpy, by Adam, on windows of a bounded, stratified sample of labelled rows (``max_rows``).
 
 For prediction each filter is split into two tables over byte pairs, so that a position's response is the sum of two
 looked-up rows; windows go through in small batches that stay in cache, whatever the length of a text. Rows never move.
@@ -15,11 +15,11 @@ extra columns are ignored; a training row needs a non-null text and lang.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ WIDTHS = {2: 8, 3: 12, 4: 12}
 EMBED = 8
 TAPS = max(WIDTHS)
 _BATCH = 48
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _mask() -> np.ndarray:
@@ -121,18 +121,23 @@ def text_windows(text: str, per_text: int) -> list[np.ndarray]:
     return list(to_windows(text.encode())[:per_text])
 
 
-def fit(labelled: DataFrame, max_rows: int = 4000, windows_per_row: int = 3) -> dict | None:
-    """Train on at most ``max_rows`` rows of ``labelled(doc_id, text, lang)``, the first by a hash of doc_id and length, out of a share of all rows that holds about so many.
+def fit(labelled: DataFrame, max_rows: int = 4000, windows_per_row: int = 3, max_langs: int = 256) -> dict | None:
+    """Train on about ``max_rows`` rows of ``labelled(doc_id, text, lang)``, drawn by a hash of doc_id and length, an equal share for each
+    of the ``max_langs`` most frequent languages, so that rare ones are learned too.
 
     Of each row's text only ``windows_per_row`` pieces of a window's length, evenly spaced, are gathered, so what comes to the
-    driver is bounded by ``max_rows * windows_per_row * WINDOW`` characters whatever the lengths of the texts.
+    driver is bounded by ``2 * max_rows * windows_per_row * WINDOW`` characters whatever the lengths of the texts.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
     pieces = [F.substr("text", F.floor(F.length("text") * k / windows_per_row).cast("int") + 1, F.lit(WINDOW)) for k in range(windows_per_row)]
     order = F.xxhash64("doc_id", F.length("text"))
-    share = min(1.0, 1.2 * max_rows / max(1, rows.count()))  # about as many rows as wanted pass, from all tasks together
-    few = rows.where(F.pmod(order, F.lit(1_000_003)) <= int(share * 1_000_003))
-    sample = few.select(order.alias("h"), "lang", F.array(*pieces).alias("pieces")).orderBy("h", "lang", "pieces").limit(max_rows).collect()
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    if not langs:
+        return None
+    each = 1.2 * max_rows / len(langs)
+    below = F.create_map(*(F.lit(x) for r in langs for x in (r["lang"], int(min(1.0, each / r["count"]) * 1_000_003))))
+    few = rows.where(F.pmod(order, F.lit(1_000_003)) <= F.coalesce(F.try_element_at(below, F.col("lang")), F.lit(-1)))
+    sample = few.select(order.alias("h"), "lang", F.array(*pieces).alias("pieces")).orderBy("h", "lang", "pieces").limit(2 * max_rows).collect()
     if not sample:
         return None
     names = sorted({r.lang for r in sample})

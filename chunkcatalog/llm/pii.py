@@ -1,25 +1,29 @@
 """Personal data, and the terms that give it away.
 
-Base spans are e-mail addresses, IP addresses, payment cards and phone numbers, found by patterns over whole texts.
-Each value (such as one e-mail address) is a protected entity. Following information-theoretic sanitisation (Sanchez and
-Batet's C-sanitized model), corpus co-occurrence estimates how much a term t tells about an entity c:
-PMI(c; t) = log2(N * n(c, t) / (n(c) * n(t))), in documents; n(c, t) counts those in which t stands within ``reach``
-characters of c. The disclosure is PMI / IC(c), IC(c) = log2(N / n(c)): the share of the entity's information that the term
-reveals. In the contexts of c, terms at ``remove_at`` or above are removed, those at ``generalise_at`` or above are replaced by a
-general word. A term needs ``support`` different contexts with the entity, so copies of one document, which repeat one
-context, do not make their words telling.
-
-Only DataFrame functions are used. Document frequencies are combined before they are shuffled; texts are not shuffled
-but where ``sanitise`` joins spans to them.
+Base spans are e-mail addresses, IP addresses, payment cards and phone numbers, found by patterns over whole texts. Each kind
+is a protected entity, present in a document or not. Following information-theoretic sanitisation (Sanchez and Batet's
+C-sanitized model), corpus co-occurrence estimates how much a term t tells about an entity c: PMI(c; t) = log2(N n(c, t) / (n(c) n(t))),
+counted in whole documents, as a share of the entity's information, IC(c) = log2(N / n(c)). That is 1 where t never occurs without c.
+Rare events are discounted (Pantel and Lin's factor): by s / (s + 1) for the s different contexts (the words on both sides) in which t stands
+in documents with c, so that copies of one document count once, and by m / (m + 1), m the lesser of n(c) and n(t).
+
+In documents with c, terms whose disclosure is ``remove_at`` or above are removed, those at ``generalise_at`` or above become a more general
+term: the longest beginning of theirs that is itself a term, in at least ``MORE_GENERAL`` times as many documents, and not telling; without one, ``[TERM]``.
+Co-occurrence has no reach: a term anywhere in a document counts, and is treated, like any other.
+
+Only DataFrame functions are used. Words of documents with entities alone are counted by context; of all other texts only terms
+that may still reach the threshold are counted (s / (s + 1) bounds it), and combined before they are shuffled. Placing and replacing n spans of one text takes
+time in proportion to n and to the text (sums and pieces are made by blocks).
 
 Cases: null text counts as empty and has no spans (sanitised it stays null); spans are in code points, end exclusive;
-spans of different kinds may overlap and then are replaced together; repeated rows count as documents each and get the same spans; an
-empty table gives no rows; columns beside doc_id and text are passed through by ``sanitise``.
+spans of different kinds may overlap and then are replaced together; a term that overlaps a base span makes no span; repeated rows count as documents each
+and get the same spans; an entity that every document has tells nothing; an empty table gives no rows; columns beside doc_id and text are passed through by ``sanitise``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chunkcatalog.llm.common import cut, row_key
@@ -34,10 +38,12 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = r"[\p{L}\p{N}]++"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-REACH = 60
-SUPPORT = 3
-GENERALISE_AT = 0.75
-REMOVE_AT = 0.9
+GENERALISE_AT = 0.5
+REMOVE_AT = 0.75
+MORE_GENERAL = 4
+BROADCAST_BYTES = 16 << 20
+_BLOCK = 64
+_PIECE = 8192
 
 
 def _digits(x: Column) -> Column:
@@ -67,15 +73,33 @@ _GATES = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[
 _PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
+
+
 def _placed(found: Column, gaps: Column, wanted: Column, make) -> Column:
-    """For each place in ``wanted``: ``make(match, start, end)``; a match starts behind all earlier gaps and matches and its own gap."""
-    lengths = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
+    """For each place in ``wanted``: ``make(found, place, start)``; a match starts behind all earlier gaps and matches and its own gap.
 
-    def at(j: Column) -> Column:
-        start = F.aggregate(F.slice(lengths, F.lit(1), j), F.lit(0), lambda a, b: a + b) + F.length(F.element_at(gaps, j + 1))
-        return make(F.element_at(found, j + 1), start, start + F.length(F.element_at(found, j + 1)))
+    Lengths are summed by blocks, so that a place needs the sum of the blocks before it and of a part of its own.
+    """
+
+    def with_all(found: Column, gaps: Column) -> Column:
+        lengths = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
+        sums = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _BLOCK).cast("int")), lambda j: _sum(F.slice(n, j * _BLOCK + 1, F.lit(_BLOCK))))
+        before = lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda j: _sum(F.slice(s, F.lit(1), j)))
+
+        def start(n: Column, bases: Column, j: Column) -> Column:
+            block = F.floor(j / _BLOCK).cast("int")
+            return F.element_at(bases, block + 1) + _sum(F.slice(n, block * _BLOCK + 1, j % _BLOCK)) + F.length(F.element_at(gaps, j + 1))
 
-    return F.transform(wanted, at)
+        return _let(lengths, lambda n: _let(sums(n), lambda s: _let(before(s), lambda bases: F.transform(wanted, lambda j: make(found, j, start(n, bases, j))))))
+
+    return _let(found, lambda f: _let(gaps, lambda g: with_all(f, g)))
 
 
 def with_base_spans(docs: DataFrame) -> DataFrame:
@@ -89,95 +113,144 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
         return F.when(F.size(f"__{k}") > 0, wanted).otherwise(F.array().cast("array<int>"))
 
     def spans(i: int, k: str) -> Column:
-        make = lambda m, a, b: F.struct(a.alias("start"), F.lit(i).alias("kind"), b.alias("end"), m.alias("value"))
-        return _placed(F.col(f"__{k}"), F.col(f"__gap_{k}"), F.col(f"__at_{k}"), make)
+        def make(found: Column, j: Column, start: Column) -> Column:
+            m = F.element_at(found, j + 1)
+            return F.struct(start.alias("start"), F.lit(i).alias("kind"), (start + F.length(m)).alias("end"), m.alias("value"))
+
+        none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+        return F.when(F.size(f"__at_{k}") > 0, _placed(F.col(f"__{k}"), F.col(f"__gap_{k}"), F.col(f"__at_{k}"), make)).otherwise(none)
 
     x = x.select("*", *(places(k).alias(f"__at_{k}") for k in KINDS))
     x = x.select("*", *(F.when(F.size(f"__at_{k}") > 0, F.split(text, _PATTERNS[k], -1)).otherwise(none).alias(f"__gap_{k}") for k in KINDS))
     return x.select(*docs.columns, F.sort_array(F.concat(*(spans(i, k) for i, k in enumerate(KINDS)))).alias("base"))
 
 
-def _context_terms(side: Column, offset: Column, cut_first: Column, cut_last: Column) -> Column:
-    """Terms of one side of a context as ``(term, start, end)``; a word that the context's edge may cut is left out."""
-    words, gaps = F.regexp_extract_all(side, F.lit(TERM), F.lit(0)), F.split(side, TERM, -1)
-    first = F.when(cut_first & (F.length(F.element_at(gaps, 1)) == 0), 1).otherwise(0)
-    last = F.size(words) - 1 - F.when(cut_last & (F.length(F.element_at(gaps, -1)) == 0), 1).otherwise(0)
-    wanted = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    return _placed(words, gaps, wanted, lambda m, a, b: F.struct(F.lower(m).alias("term"), (offset + a).alias("start"), (offset + b).alias("end")))
+def _has(i: int) -> str:
+    return f"has_{KINDS[i]}"
 
 
-def around(reach: int = REACH) -> Column:
-    """For each base span ``(entity, left, right, begin, end, more)``: the text within reach on both sides, and whether more follows."""
+def occurrences(held: DataFrame) -> DataFrame:
+    """``(row, has_email, ..., term, context, start, end)`` for each word of ``held(row, base, text)``, in lower case; context hashes the words on both sides."""
+    has = [F.exists("base", lambda s, i=i: s["kind"] == i).alias(_has(i)) for i in range(len(KINDS))]
 
-    def context(m: Column) -> Column:
-        begin = F.greatest(m["start"] - reach, F.lit(0))
-        return F.struct(
-            F.concat_ws(":", m["kind"].cast("string"), F.lower(m["value"])).alias("entity"),
-            F.substr("text", begin + 1, m["start"] - begin).alias("left"),
-            F.substr("text", m["end"] + 1, F.lit(reach)).alias("right"),
-            begin.alias("begin"),
-            m["end"].alias("end"),
-            (m["end"] + reach < F.length("text")).alias("more"),
-        )
+    def make(found: Column, j: Column, start: Column) -> Column:
+        word = lambda at: F.when((at >= 1) & (at <= F.size(found)), F.element_at(found, F.greatest(at, F.lit(1))))
+        m = F.element_at(found, j + 1)
+        return F.struct(F.lower(m).alias("term"), F.xxhash64(F.lower(F.coalesce(word(j), F.lit(""))), F.lower(F.coalesce(word(j + 2), F.lit("")))).alias("context"), start.alias("start"), (start + F.length(m)).alias("end"))
 
-    return F.transform("base", context)
+    x = held.select("row", *has, F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("found"), F.split("text", TERM, -1).alias("gaps"))
+    x = x.where(F.size("found") > 0)
+    words = _placed(F.col("found"), F.col("gaps"), F.sequence(F.lit(0), F.size("found") - 1), make)
+    return x.select("row", *map(_has, range(len(KINDS))), F.explode(words).alias("t")).select("row", *map(_has, range(len(KINDS))), "t.*")
 
 
-def contexts(marked: DataFrame) -> DataFrame:
-    """A row for each term near a base span of ``marked(row, around)``: ``(row, entity, context, term, start, end)``."""
-    x = marked.select("row", F.explode("around").alias("m")).select("row", "m.*")
-    terms = F.concat(_context_terms(F.col("left"), F.col("begin"), F.col("begin") > 0, F.lit(True)), _context_terms(F.col("right"), F.col("end"), F.lit(True), F.col("more")))
-    x = x.select("row", "entity", F.xxhash64("left", "right").alias("context"), F.explode(terms).alias("t"))
-    return x.select("row", "entity", "context", "t.term", "t.start", "t.end")
+def _bounded(terms: DataFrame) -> DataFrame:
+    """Broadcast a checkpointed table of terms if its measured bytes are few enough."""
+    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    return F.broadcast(terms) if size <= BROADCAST_BYTES else terms
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """``(term, n_t)``: in how many documents each term occurs."""
+def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, n_t)``: in how many documents each of ``terms(term)``, a checkpointed table, occurs."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    return docs.where("text IS NOT NULL").select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    x = docs.where("text IS NOT NULL").select(F.explode(words).alias("term")).join(_bounded(terms), "term", "left_semi")
+    return x.groupBy("term").agg(F.count("*").alias("n_t"))
 
 
-def disclosures(docs: DataFrame, near: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """``(entity, term, disclosure)`` for terms with enough support."""
+def disclosures(docs: DataFrame, held: DataFrame, generalise_at: float = GENERALISE_AT) -> tuple[DataFrame, DataFrame]:
+    """``(kind, term, n_t, disclosure)`` of all terms at ``generalise_at`` or above, and the document frequencies of them and of their beginnings."""
+    kinds = range(len(KINDS))
     total = docs.count()
-    entities = near.groupBy("entity", "row").agg(F.count("*")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    by_context = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    by_row = near.groupBy("entity", "term", "row").agg(F.count("*")).groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
-    x = by_context.join(by_row, ["entity", "term"]).join(entities, "entity").join(document_frequencies(docs), "term")
+    n_c = held.agg(*(F.count_if(F.exists("base", lambda s, i=i: s["kind"] == i)) for i in kinds)).first()
+    words = occurrences(held)
+    contexts = words.groupBy("term", "context").agg(*(F.max(_has(i)).alias(_has(i)) for i in kinds)).groupBy("term").agg(*(F.count_if(_has(i)).alias(f"s_{i}") for i in kinds))
+    rows = words.select("row", "term", *map(_has, kinds))
+    both = rows.groupBy("row", "term").agg(*(F.max(_has(i)).alias(_has(i)) for i in kinds), F.count("*").alias("times"))
+    # Rows that are repeated share a key; each counts as a document.
+    copies = held.groupBy("row").agg(F.count("*").alias("copies"))
+    n_ct = both.join(copies, "row").groupBy("term").agg(*(F.sum(F.when(F.col(_has(i)), F.col("copies")).otherwise(0)).alias(f"n_{i}") for i in kinds))
+    stats = [F.struct(F.lit(i).alias("kind"), F.col(f"s_{i}").alias("s"), F.col(f"n_{i}").alias("n_ct"), F.lit(n_c[i] or 0).cast("long").alias("n_c")) for i in kinds]
+    may = contexts.join(n_ct, "term").select("term", F.explode(F.array(*stats)).alias("x")).select("term", "x.*")
+    may = cut(may.where((F.col("n_c") > 0) & (F.col("n_c") < total) & (F.col("s") >= generalise_at * (F.col("s") + 1))))
+    beginnings = F.transform(F.sequence(F.lit(3), F.greatest(F.length("term"), F.lit(3))), lambda n: F.substr(F.col("term"), F.lit(1), n))
+    wanted = cut(may.select("term").distinct().select(F.explode(F.concat(beginnings, F.array("term"))).alias("term")).distinct())
+    often = cut(document_frequencies(docs, wanted))
+    least = F.least("n_c", "n_t")
     pmi = F.log2(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    ic = F.log2(F.lit(float(total)) / F.col("n_c"))
-    return x.where(F.col("n_c") < total).select("entity", "term", (pmi / ic).alias("disclosure"))
+    share = pmi / F.log2(F.lit(float(total)) / F.col("n_c")) * F.col("s") / (F.col("s") + 1) * least / (least + 1)
+    x = may.join(often, "term").select("kind", "term", "n_t", share.alias("disclosure"))
+    return cut(x.where(F.col("disclosure") >= generalise_at)), often
+
 
+def more_general(risky: DataFrame, often: DataFrame) -> DataFrame:
+    """``risky`` with ``by``: the longest beginning that is a more frequent term and not risky for the same kind, else ``[TERM]``."""
+    x = risky.where(F.length("term") > 3).select("kind", "term", "n_t", F.explode(F.sequence(F.lit(3), F.length("term") - 1)).alias("n"))
+    x = x.select("kind", "term", "n_t", F.substr(F.col("term"), F.lit(1), F.col("n")).alias("g")).join(often.select(F.col("term").alias("g"), F.col("n_t").alias("n_g")), "g")
+    x = x.where(F.col("n_g") >= F.col("n_t") * MORE_GENERAL).join(risky.select("kind", F.col("term").alias("g")), ["kind", "g"], "left_anti")
+    best = x.groupBy("kind", "term").agg(F.max_by("g", F.length("g")).alias("g"))
+    return risky.join(best, ["kind", "term"], "left").withColumn("by", F.coalesce("g", F.lit("[TERM]"))).drop("g")
 
-def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, reach: int = REACH, support: int = SUPPORT) -> DataFrame:
+
+_TERMS = "array<struct<start:int,end:int,act:string,by:string>>"
+
+
+def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """Spans of each row of ``docs(doc_id, text)``: ``(row, doc_id, base, terms)``.
 
-    ``row`` is a hash of doc_id and text, ``terms`` an array of ``(start, end, act)`` with act ``remove`` or ``generalise``.
+    ``row`` is a hash of doc_id and text, ``terms`` an array of ``(start, end, act, by)`` with act ``remove`` or ``generalise``.
     """
     rows = docs.select("doc_id", "text").withColumn("row", row_key("doc_id", "text"))
-    marked = cut(with_base_spans(rows).select("row", "doc_id", "base", around(reach).alias("around")))  # patterns run over the texts once
-    near = contexts(marked)
-    risky = disclosures(docs, near, support).where(F.col("disclosure") >= generalise_at).withColumn("act", F.when(F.col("disclosure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise")))
-    terms = near.join(risky, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("act").alias("act"))
-    terms = terms.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "act"))).alias("terms"))
-    return marked.select("row", "doc_id", "base").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,act:string>>")))
+    marked = with_base_spans(rows).select("row", "doc_id", "base", "text")
+    marked = cut(marked.withColumn("text", F.when(F.size("base") > 0, F.col("text"))))  # patterns run over the texts once
+    held = marked.where("size(base) > 0")
+    risky, often = disclosures(docs, held, generalise_at)
+    risky = more_general(risky, often).withColumn("act", F.when(F.col("disclosure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise")))
+    has = F.element_at(F.array(*map(_has, range(len(KINDS)))), F.col("kind") + 1)
+    hit = occurrences(held).join(risky, "term").where(has).groupBy("row", "start", "end").agg(F.max_by(F.struct("act", F.when(F.col("act") == "remove", "").otherwise(F.col("by")).alias("by")), F.struct("disclosure", "kind")).alias("best"))
+    # Terms that overlap a base span go: one that began before and has not ended, or one that begins inside.
+    hit = hit.select("row", "start", "end", "best.act", "best.by")
+    base = held.join(hit.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).select("row", F.explode("base").alias("s")).select("row", "s.start", "s.end", F.lit(None).cast("string").alias("act"), F.lit(None).cast("string").alias("by"))
+    order = W.partitionBy("row").orderBy("start")
+    ended = F.max(F.when(F.col("act").isNull(), F.col("end"))).over(order.rangeBetween(W.unboundedPreceding, 0))
+    begins = F.min(F.when(F.col("act").isNull(), F.col("start"))).over(order.rangeBetween(0, W.unboundedFollowing))
+    free = hit.union(base).withColumn("ended", ended).withColumn("begins", begins).where("act IS NOT NULL AND coalesce(ended <= start, true) AND coalesce(begins >= end, true)")
+    terms = free.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "act", "by"))).alias("terms"))
+    return marked.select("row", "doc_id", "base").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_TERMS)))
+
+
+def _replaced(text: Column, cuts: Column) -> Column:
+    """``text`` with each of the disjoint, ordered ``cuts(start, end, by)`` replaced, made by pieces of ``_PIECE`` code points: a cut is written where it starts."""
+
+    def piece(part: Column, lo: Column, here: Column) -> Column:
+        bounds = lambda c: (F.greatest(c["start"] - lo, F.lit(0)), F.least(c["end"] - lo, F.length(part)))
+
+        def from_last(c: Column, i: Column) -> Column:
+            last = F.when(i > 0, F.element_at(here, F.greatest(i, F.lit(1)))["end"] - lo).otherwise(0)
+            return F.concat(F.substr(part, last + 1, F.greatest(bounds(c)[0] - last, F.lit(0))), F.when(c["start"] >= lo, c["by"]).otherwise(""))
+
+        tail = F.substr(part, F.least(F.element_at(here, -1)["end"] - lo, F.length(part)) + 1, F.length(part))
+        return F.when(F.size(here) == 0, part).otherwise(F.concat(F.array_join(F.transform(here, from_last), ""), tail))
+
+    def within(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda p, i: _let(F.filter(cuts, lambda c: (c["end"] > i * _PIECE) & (c["start"] < (i + 1) * _PIECE)), lambda here: piece(p, i * _PIECE, here))), "")
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), within)
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with personal data and telling terms replaced in ``text``."""
-    spans = find(docs, **options).select("row", "base", "terms").where("size(base) > 0 OR size(terms) > 0").groupBy("row").agg(F.first("base").alias("base"), F.first("terms").alias("terms"))
+    found = find(docs, **options).select("row", "base", "terms").where("size(base) > 0").groupBy("row").agg(F.first("base").alias("base"), F.first("terms").alias("terms"))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("by")))
-    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["act"] == "remove", "").otherwise("[TERM]").alias("by")))
-    x = docs.withColumn("__row", row_key("doc_id", "text")).join(spans.withColumnRenamed("row", "__row"), "__row", "left").withColumn("__cuts", F.sort_array(F.concat(base, terms)))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        kept = F.substr("text", acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], kept, s["by"])).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("__cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1)))
-    x = x.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(done))
+    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["by"].alias("by")))
+    spans = found.select("row", F.explode(F.concat(base, terms)).alias("s")).select("row", "s.*")
+    order = W.partitionBy("row").orderBy("start", "end", "by")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.withColumn("fresh", F.when(F.coalesce(reach, F.lit(0)) <= F.col("start"), 1).otherwise(0)).withColumn("group", F.sum("fresh").over(order))
+    merged = spans.groupBy("row", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("by", F.struct("start", "end", "by")).alias("by"))
+    cuts = merged.groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "by"))).alias("__cuts"))
+    x = docs.withColumn("__row", row_key("doc_id", "text")).join(cuts, "__row", "left")
+    x = x.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("__cuts"))))
     return x.select(docs.columns)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -197,6 +198,80 @@ def test_telling_terms_are_removed(spark):
     assert f"term:{a}:{a + 8}" in found[1000].spans.split(",")
 
 
+def slow_terms(rows, least, remove_at):
+    """Term spans by brute force: ``{(doc_id, start, end): act}`` of ``rows(doc_id, text)``."""
+    held, n_c, n_t, seen = {}, Counter(), Counter(), {}
+    for n, (_, text) in enumerate(rows):
+        words = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text or "")]
+        for w in {w for w, _, _ in words}:
+            n_t[w] += 1
+        kinds = {k for _, k, _ in base_spans(text)}
+        for k in kinds:
+            n_c[k] += 1
+        if kinds:
+            held[n] = (words, kinds)
+    for n, (words, kinds) in held.items():
+        for i, (w, _, _) in enumerate(words):
+            around = (words[i - 1][0] if i else "", words[i + 1][0] if i + 1 < len(words) else "")
+            for k in kinds:
+                docs_, contexts = seen.setdefault((k, w), (set(), set()))
+                docs_.add(n)
+                contexts.add(around)
+    share = {}
+    for (k, w), (docs_, contexts) in seen.items():
+        if n_c[k] < len(rows):
+            pmi = np.log2(len(rows) * len(docs_) / (n_c[k] * n_t[w]))
+            m, s = min(n_c[k], n_t[w]), len(contexts)
+            share[k, w] = pmi / np.log2(len(rows) / n_c[k]) * s / (s + 1) * m / (m + 1)
+    out = {}
+    for n, (words, kinds) in held.items():
+        taken = base_spans(rows[n][1])
+        for w, a, b in words:
+            best = max(share.get((k, w), 0) for k in kinds)
+            if best >= least - 1e-12 and not any(x < b and a < y for x, _, y in taken):
+                out[rows[n][0], a, b] = "remove" if best >= remove_at - 1e-12 else "generalise"
+    return out
+
+
+def test_every_added_span_by_brute_force(spark):
+    rng = random.Random(21)
+    common = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        words = rng.choices(common, k=rng.randint(3, 20))
+        if i % 6 == 0:
+            words.insert(rng.randint(0, len(words)), f"user{i}@host.example")
+            words += rng.sample(["Secretname", "cardholder", "w1"], 2)
+        if i % 10 == 0:
+            words.insert(0, f"10.0.{i % 250}.7")
+            words.append("gateway")
+        if i % 25 == 1:
+            words.append("cardholder")
+        rows.append((i, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, s.start, s.end): s.act for r in pii.find(table).collect() for s in r.terms}
+    want = slow_terms(rows, pii.GENERALISE_AT, pii.REMOVE_AT)
+    assert got == want and {"remove", "generalise"} == set(want.values())
+
+
+def test_generalisation_takes_a_more_frequent_beginning(spark):
+    filler = some_texts(120, 5, 6, 9)
+    rows = [(i, f"{t} account number") for i, t in enumerate(filler)] + [(1000 + i, f"{filler[i]} accountholder {filler[i + 9]} mail a{i}@b.cc") for i in range(3)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(" account " in out[1000 + i] and "accountholder" not in out[1000 + i] for i in range(3))
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = " ".join(f"u{i}@h{i}.example" for i in range(40_000))
+    rows = spark.createDataFrame([(1, text), (2, "plain"), (1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = pii.report(pii.find(rows)).collect()
+    out = pii.sanitise(rows).collect()
+    assert time.perf_counter() - began < 120
+    assert sorted(r.n_email for r in got) == [0, 40_000, 40_000]
+    assert sorted(r.text for r in out) == sorted(["plain", *[" ".join(["[EMAIL]"] * 40_000)] * 2])
+
+
 def test_sanitise_keeps_null_and_plain_text(spark):
     rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "plain", "en", "s", 0), (None, "mail a@b.cc now", "en", "s", 0), (4, "card +4417744280351547 x", "en", "s", 0)]
     out = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
@@ -234,6 +309,15 @@ def test_only_conflicting_chats_are_escaped(spark):
     assert got[2].escaped and got[2].formatted == "<s>user[INST] a <\\/s> b [/INST]</s>"
 
 
+def test_the_parser_rejects_what_is_no_sentence(spark):
+    good = "<s>user[INST] hi [/INST]</s>"
+    bad = ["XXXuser[INST] hi!!!!!!!!</s>", good + "trailing", "junk" + good, "<s>user[INST] [/INST]</s>", "<s>user hi [/INST]</s>", "<s>user[INST] hi</s>", "<s>us<s>er[INST] hi [/INST]</s>", "<s>user[INST] a [INST] b [/INST]</s>", "hi", good[:-1]]
+    cases = [good, "", good * 2, "<s>[INST]  [/INST]</s>", *bad]
+    got = {r.s: r.p for r in spark.createDataFrame([(c,) for c in cases], "s string").select("s", chat.parse(F.col("s")).alias("p")).collect()}
+    assert got[good] == [("user", "hi")] and got[""] == [] and len(got[good * 2]) == 2 and got["<s>[INST]  [/INST]</s>"] == [("", "")]
+    assert all(got[b] is None for b in bad)
+
+
 # ---- 6 SimHash
 
 
@@ -404,7 +488,7 @@ def test_permutation_index_recall(spark):
     rows = [(i, [float(x) for x in np.float32(r)], 0, 1.0) for i, r in enumerate(v)]
     rows += [(5000, None, 0, 1.0), (5020, [0.0] * 32, 0, 1.0), (5040, [1.0] * 31 + [None], 0, 1.0), (5060, [1.0] * 31 + [float("nan")], 0, 1.0), (5080, [1.0] * 31 + [float("inf")], 0, 1.0), (5100, [1.0, 2.0], 0, 1.0), (None, [1.0] * 32, 0, 1.0), (60, [float(x) for x in np.float32(v[60])], 0, 1.0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score double")
-    got = ann.search(table, F.col("vec_id") % 20 == 0, k=10, block=1000, query_block=64).collect()
+    got = ann.search(table, F.col("vec_id") % 20 == 0, k=10, block=50, query_block=8).collect()
     x = np.float32(v).astype(np.float64)
     by = {}
     for r in got:
@@ -422,6 +506,21 @@ def test_permutation_index_recall(spark):
     assert hits / (10 * len(by)) >= 0.9
 
 
+def test_permutation_index_repeated_ids_and_copies(spark):
+    """Rows of one vec_id with other vectors stay candidates; a repeated row is one; of many copies the smallest ids come."""
+    rows = [(0, [1.0, 0.0])] * 2 + [(0, [0.9, 0.1]), (1, [0.5, 0.5]), (7, [0.8, 0.0])] + [(100 + i, [2.0, 0.0]) for i in range(200)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=30).collect()
+    assert {r.query_id for r in got} == {0}
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(100 + i, pytest.approx(1.8)) for i in range(30)]
+    every = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=500).collect()
+    assert len(every) == 203 and sum(r.vec_id == 0 for r in every) == 1  # the asked vector is the smaller one, [0.9, 0.1]
+    many = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 100, k=3).collect()
+    best = {}
+    for r in sorted(many, key=lambda r: r["rank"]):
+        best.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(best[q] == [i for i in range(100, 104) if i != q][:3] for q in range(100, 300))
+
+
 def test_permutation_index_small_tables(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = ann.search(table, F.col("vec_id") % 20 == 0).collect()
@@ -463,6 +562,15 @@ def test_language_id(spark):
     assert langid.fit(table.limit(0)) is None and langid.predict(table.limit(0), model).count() == 0
 
 
+def test_letters_and_rare_languages(spark):
+    rows = [(i, t, lang) for i, t, lang in language_rows(300)] + [(5000 + i, "ωμεγα αλφα βητα " * 5, "el") for i in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table, max_rows=40)
+    assert "el" in model["names"]
+    odd = spark.createDataFrame([(1, "½ ² ① 12"), (2, "Ⅷ"), (3, "ª")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in langid.predict(odd, model).collect()} == {1: True, 2: True, 3: False}
+
+
 def test_tables_equal_the_convolution():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 256, (20, langid.WINDOW)).astype(np.uint8)
@@ -527,6 +635,42 @@ def test_entities_are_decoded_once():
     assert html_op.main_text("<article><p>&amp;lt;b&amp;gt; &#233;&nbsp;x</p></article>") == entities.unescape("&amp;lt;b&amp;gt;") + " é x"
 
 
+def test_html_of_content_systems():
+    p = "Some words make a sentence here, and then it goes on for a while to be long enough. "
+    cases = [
+        (f'<nav><a href="/">Home</a></nav><article class="post-12 type-post category-legal tag-social"><p>{p}</p><p>Short.</p></article>', [p.strip(), "Short."]),
+        (f'<article><p>{p}</p><div title="the hidden truth"><p>Inner.</p></div><div data-id="sidebar"><p>More.</p></div></article>', [p.strip(), "Inner.", "More."]),
+        (f"<article><p title=it's>Hello there.</p><p>{p}</p></article>", ["Hello there.", p.strip()]),
+        (f'<form id="aspnetForm"><div class="menu"><a href=x>a</a></div><article><p>{p}</p></article></form>', [p.strip()]),
+        (f'<form action="/p"><h1>Title</h1><div><p>{p}</p><p>{p}</p></div></form>', ["Title", p.strip(), p.strip()]),
+        (f'<article class="teaser">{p}</article><article><p>{p}</p><p style="display: none">{p}</p><p hidden>{p}</p></article>', [p.strip()]),
+        (f'<article><p data-x="a>b" class=\'x\'>{p}</p><p class="unfinished>{p}', [p.strip()]),
+    ]
+    for page, want in cases:
+        assert html_op.main_text(page).split("\n") == want, page
+
+
+def test_the_cut_decides():
+    """Edges change labels: a doubtful block between content follows it, and fewer made pages are labelled wrongly than without edges."""
+    rng = random.Random(5)
+    alone = together = 0
+    for _ in range(120):
+        page, truth = html_op.training_page(rng)
+        blocks = html_op.blocks_of(page)
+        scores = html_op.evidence(blocks)
+        assert len(blocks) == len(truth)
+        alone += sum((s > 0) != t for s, t in zip(scores, truth, strict=True))
+        together += sum(k != t for k, t in zip(html_op.minimum_cut(scores, html_op.smoothness(blocks)), truth, strict=True))
+    assert together < alone < 40
+
+
+def test_html_deep_and_long_pages():
+    began = time.perf_counter()
+    html_op.main_text("<div>" * 20_000 + "x" + "</span></p></td>" * 20_000 + "</div>" * 20_000)
+    text = html_op.main_text("<article>" + "<p>Some words here.</p>" * 30_000 + "</article>" + '<div class="ad">Buy</div>' * 5000)
+    assert text == "\n".join(["Some words here."] * 30_000) and time.perf_counter() - began < 30
+
+
 def test_html_of_other_templates():
     p = "Some words make a sentence here, and then it goes on for a while to be long enough. "
     cases = [
