@@ -4,7 +4,7 @@ Base spans are e-mail addresses, IP addresses, payment cards and phone numbers,
 is a protected entity, present in a document or not. Following information-theoretic sanitisation (Sanchez and Batet's
 C-sanitized model), corpus co-occurrence estimates how much a term t tells about an entity c: PMI(c; t) = log2(N n(c, t) / (n(c) n(t))),
 counted in whole documents, as a share of the entity's information, IC(c) = log2(N / n(c)). That is 1 where t never occurs without c.
-Rare events are discounted (Pantel and Lin's factor): by s / (s + 1) for the s different contexts (the words on both sides) in which t stands
+Rare events are discounted (Pantel and Lin's factor): by s / (s + 1) for the s different contexts (two words on both sides) in which t stands
 in documents with c, so that copies of one document count once, and by m / (m + 1), m the lesser of n(c) and n(t).
 
 In documents with c, terms whose disclosure is ``remove_at`` or above are removed, those at ``generalise_at`` or above become a more general
@@ -129,14 +129,18 @@ def _has(i: int) -> str:
     return f"has_{KINDS[i]}"
 
 
+def _held(i: int) -> Column:
+    return F.exists("base", lambda s: s["kind"] == i)
+
+
 def occurrences(held: DataFrame) -> DataFrame:
-    """``(row, has_email, ..., term, context, start, end)`` for each word of ``held(row, base, text)``, in lower case; context hashes the words on both sides."""
-    has = [F.exists("base", lambda s, i=i: s["kind"] == i).alias(_has(i)) for i in range(len(KINDS))]
+    """``(row, has_email, ..., term, context, start, end)`` for each word of ``held(row, base, text)``, in lower case; context hashes two words on both sides."""
+    has = [_held(i).alias(_has(i)) for i in range(len(KINDS))]
 
     def make(found: Column, j: Column, start: Column) -> Column:
         word = lambda at: F.when((at >= 1) & (at <= F.size(found)), F.element_at(found, F.greatest(at, F.lit(1))))
         m = F.element_at(found, j + 1)
-        return F.struct(F.lower(m).alias("term"), F.xxhash64(F.lower(F.coalesce(word(j), F.lit(""))), F.lower(F.coalesce(word(j + 2), F.lit("")))).alias("context"), start.alias("start"), (start + F.length(m)).alias("end"))
+        return F.struct(F.lower(m).alias("term"), F.xxhash64(*(F.lower(F.coalesce(word(j + 1 + d), F.lit(""))) for d in (-2, -1, 1, 2))).alias("context"), start.alias("start"), (start + F.length(m)).alias("end"))
 
     x = held.select("row", *has, F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("found"), F.split("text", TERM, -1).alias("gaps"))
     x = x.where(F.size("found") > 0)
@@ -161,7 +165,7 @@ def disclosures(docs: DataFrame, held: DataFrame, generalise_at: float = GENERAL
     """``(kind, term, n_t, disclosure)`` of all terms at ``generalise_at`` or above, and the document frequencies of them and of their beginnings."""
     kinds = range(len(KINDS))
     total = docs.count()
-    n_c = held.agg(*(F.count_if(F.exists("base", lambda s, i=i: s["kind"] == i)) for i in kinds)).first()
+    n_c = held.agg(*(F.count_if(_held(i)) for i in kinds)).first()
     words = occurrences(held)
     contexts = words.groupBy("term", "context").agg(*(F.max(_has(i)).alias(_has(i)) for i in kinds)).groupBy("term").agg(*(F.count_if(_has(i)).alias(f"s_{i}") for i in kinds))
     rows = words.select("row", "term", *map(_has, kinds))
@@ -210,9 +214,9 @@ def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float
     # Terms that overlap a base span go: one that began before and has not ended, or one that begins inside.
     hit = hit.select("row", "start", "end", "best.act", "best.by")
     base = held.join(hit.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).select("row", F.explode("base").alias("s")).select("row", "s.start", "s.end", F.lit(None).cast("string").alias("act"), F.lit(None).cast("string").alias("by"))
-    order = W.partitionBy("row").orderBy("start")
-    ended = F.max(F.when(F.col("act").isNull(), F.col("end"))).over(order.rangeBetween(W.unboundedPreceding, 0))
-    begins = F.min(F.when(F.col("act").isNull(), F.col("start"))).over(order.rangeBetween(0, W.unboundedFollowing))
+    so_far = (W.unboundedPreceding, 0)  # a frame up to the end would be read anew for each row
+    ended = F.max(F.when(F.col("act").isNull(), F.col("end"))).over(W.partitionBy("row").orderBy("start").rangeBetween(*so_far))
+    begins = F.min(F.when(F.col("act").isNull(), F.col("start"))).over(W.partitionBy("row").orderBy(F.desc("start")).rangeBetween(*so_far))
     free = hit.union(base).withColumn("ended", ended).withColumn("begins", begins).where("act IS NOT NULL AND coalesce(ended <= start, true) AND coalesce(begins >= end, true)")
     terms = free.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "act", "by"))).alias("terms"))
     return marked.select("row", "doc_id", "base").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_TERMS)))
