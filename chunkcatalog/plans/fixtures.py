@@ -78,6 +78,23 @@ class Tables:
         upto = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
         return self.raw("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("path"), (F.col("turn") * 10).alias("mtime"), F.collect_list(c).over(upto).alias("chunks"))
 
+    @property
+    def tree(self) -> dict[str, DataFrame]:
+        """A catalog of those versions in a tree of directories: files, heads, directories, and chunks with the references of the heads, all in one log."""
+        conv = F.call_function("div", F.col("id"), F.lit(1000))
+        text = lambda c: c.cast("string")
+        files = self.conv_files.withColumn("path", F.concat(F.lit("c"), text(conv % 7), F.lit("/d"), text(conv % 3), F.lit("/"), text(conv)))
+        last = F.max_by(F.struct("id", "mtime"), "id").alias("v")
+        heads = files.groupBy("path").agg(last).select("path", F.col("v.id").alias("file_id"), paths.parent(F.col("path")).alias("parent"), paths.name(F.col("path")).alias("name"), F.col("v.mtime").alias("mtime"))
+        dirs = heads.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
+        dirs = dirs.select("path", paths.parent(F.col("path")).alias("parent"), paths.name(F.col("path")).alias("name"), F.lit(0).cast("long").alias("mtime"))
+        held = files.join(heads.select(F.col("file_id").alias("id")), "id", "left_semi").select(F.explode("chunks").alias("c"))
+        zero, length = F.lit(0).cast("long"), F.col("len").cast("long")
+        chunks = held.groupBy(F.col("c.hash").alias("hash")).agg(F.count("*").alias("refcount"), F.max("c.len").alias("len"))
+        chunks = chunks.select("hash", "refcount", F.lit(1).cast("long").alias("vlog_id"), zero.alias("vaddr_offset"), length.alias("logical_len"), length.alias("compressed_len"))
+        none = lambda schema: self.spark.createDataFrame([], schema)
+        return {"file": files, "file_head": heads, "dir": dirs, "chunk": chunks, "snapshot": none("id bigint, name string, created_at bigint"), "snapshot_file": none("snapshot_id bigint, path string, file_id bigint")}
+
     @property
     def page_paths(self) -> DataFrame:
         path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), r"\?.*$", "")
@@ -120,13 +137,16 @@ SQL: dict[str, str] = {
     "extents": "SELECT source, doc_id, bytes, CAST(sum(bytes) OVER w - bytes AS BIGINT) AS start, CAST(sum(bytes) OVER w AS BIGINT) AS \"end\" FROM (SELECT source, doc_id, n_chars + 64 AS bytes FROM documents) WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)",
     "conv_chunks": "SELECT v.conv_id * 1000 + v.turn AS file_id, 'conv/' || CAST(v.conv_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY v.conv_id, v.turn ORDER BY c.turn) - 1 AS pos, left(sha256(c.text), 30) AS hash, length(c.text) AS len FROM conversations v JOIN conversations c ON v.conv_id = c.conv_id AND c.turn <= v.turn",
     "conv_heads": "SELECT 'conv/' || CAST(conv_id AS VARCHAR) AS path, max(conv_id * 1000 + turn) AS file_id FROM conversations GROUP BY conv_id",
+    "tree_chunks": "SELECT file_id, 'c' || CAST(file_id // 1000 % 7 AS VARCHAR) || '/d' || CAST(file_id // 1000 % 3 AS VARCHAR) || '/' || CAST(file_id // 1000 AS VARCHAR) AS path, pos, hash, len FROM conv_chunks",
+    "tree_heads": "SELECT path, max(file_id) AS file_id FROM tree_chunks GROUP BY path",
+    "tree_refs": "SELECT hash, count(*) AS refcount FROM tree_chunks JOIN tree_heads USING (path, file_id) GROUP BY hash",
     "page_paths": "SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '\\?.*$', '') AS path, length(html) AS size FROM pages",
     "page_heads": "SELECT path, max(page_id) AS file_id, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent, regexp_replace(path, '^.*/', '') AS name, arg_max(size, page_id) AS size FROM page_paths GROUP BY path",
     "write_ops": "SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) || ':' || o_orderpriority AS idempotency_key, 'cust/' || CAST(o_custkey AS VARCHAR) AS path, CASE o_orderstatus WHEN 'F' THEN 'committed' WHEN 'O' THEN 'prepared' ELSE 'abandoned' END AS state, CASE WHEN o_orderkey % 2 = 0 THEN CAST(epoch(o_orderdate) AS BIGINT) * 1000000000 ELSE CAST(epoch(o_orderdate) AS BIGINT) END AS created_at FROM orders",
     "spans": "SELECT user_id, event_id AS seq, CAST(floor(abs(value) * 7) AS BIGINT) % 500 AS lo, CAST(floor(abs(value) * 7) AS BIGINT) % 500 + 1 + event_id % 40 AS hi FROM events",
 }
 #: What each of them needs.
-_NEEDS = {"states": ["disk", "node"], "usage": ["part_logs"], "doc_chunks": ["doc_rows"], "page_heads": ["page_paths"]}
+_NEEDS = {"states": ["disk", "node"], "usage": ["part_logs"], "doc_chunks": ["doc_rows"], "page_heads": ["page_paths"], "tree_chunks": ["conv_chunks"], "tree_heads": ["tree_chunks"], "tree_refs": ["tree_heads"]}
 
 
 def with_tables(names: str, body: str) -> str:
