@@ -152,10 +152,17 @@ def sector_coverage(extent_rows: DataFrame, by: list[str], sector: int = 4096) -
 
 
 def retention(snapshots: DataFrame, now: Column, day: int, daily_days: int = 7, weekly_weeks: int = 4, key: str = "id", at: str = "created_at") -> DataFrame:
-    """Snapshots to keep: the newest of each day of the last days, and of each week of the last weeks; with ``daily`` and ``weekly``."""
-    week = day * 7
-    age = now - F.col(at)
-    by_day = W.partitionBy(F.call_function("div", F.col(at), F.lit(day))).orderBy(F.desc(at), F.desc(key))
-    by_week = W.partitionBy(F.call_function("div", F.col(at), F.lit(week))).orderBy(F.desc(at), F.desc(key))
-    x = snapshots.withColumn("daily", (F.row_number().over(by_day) == 1) & (age < daily_days * day)).withColumn("weekly", (F.row_number().over(by_week) == 1) & (age < weekly_weeks * week))
-    return x.where("daily OR weekly")
+    """Snapshots to keep: the newest of each day of the last days, and of each week of the last weeks; with ``daily`` and ``weekly``.
+
+    Only what is young enough is looked at, and its newest of each day and week come from aggregates, which are combined before they move. A bucket that begins before the
+    limit keeps its newest all the same: that is younger than the rest of it.
+    """
+    newest = F.max_by(key, F.struct(at, key)).alias(key)
+
+    def of(width: int, most: int, name: str) -> DataFrame:
+        bucket = F.call_function("div", F.col(at), F.lit(width))
+        return snapshots.where(now - F.col(at) < most).groupBy(bucket.alias("__bucket")).agg(newest).select(key, F.lit(name).alias("__kept"))
+
+    kept = of(day, daily_days * day, "daily").unionByName(of(day * 7, weekly_weeks * day * 7, "weekly"))
+    kept = kept.groupBy(key).agg(*(F.coalesce(F.bool_or(F.col("__kept") == name), F.lit(False)).alias(name) for name in ("daily", "weekly")))
+    return snapshots.join(kept, key)

@@ -257,12 +257,22 @@ def valid_commits(writes: DataFrame) -> DataFrame:
     return x.select("txn", ((F.col("disks") == F.col("n")) & (F.col("shards") == F.col("n"))).alias("valid"))
 
 
-def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Nodes of ``nodes(node)`` that no root reaches over ``edges(parent, child)``: a level a round, until nothing is new."""
-    seen = front = settle(roots.select("node").distinct())
-    for _ in range(max_depth):
-        front = settle(front.join(edges, front.node == edges.parent).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti"))
+def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes of ``nodes(node)`` that no root reaches over ``edges(parent, child)``, whatever the depth.
+
+    Paths double in length each round (edges are replaced by what two of them reach) while the front moves on by all lengths made so far, so a
+    chain of n nodes takes about log n rounds. Only edges whose parent has not been reached are doubled.
+    """
+    seen = settle(roots.select("node").distinct())
+    steps = settle(edges.select("parent", "child").where("parent <> child").distinct())
+    while True:
+        front = steps.join(seen, steps.parent == seen.node, "left_semi").select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = settle(front)
         if front.isEmpty():
-            break
+            return nodes.join(seen, "node", "left_anti")
         seen = settle(seen.union(front))
-    return nodes.join(seen, "node", "left_anti")
+        # Reached parents stay as sources only where they have just been reached: what older ones reach is in the front.
+        rest = steps.join(seen, steps.parent == seen.node, "left_anti").union(steps.join(front, steps.parent == front.node, "left_semi"))
+        rest = settle(rest)
+        onward = rest.select(F.col("parent").alias("child"), F.col("child").alias("far"))
+        steps = settle(rest.union(rest.join(onward, "child").select("parent", F.col("far").alias("child"))).where("parent <> child").distinct())

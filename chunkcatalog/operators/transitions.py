@@ -167,7 +167,7 @@ def delete_snapshots(cat: Catalog, gone: DataFrame) -> Catalog:
     """Drops snapshots ``gone(id)`` with their members and references; unknown ids are ignored, so twice is once."""
     ids = gone.select(F.col("id").alias("snapshot_id")).distinct()
     held = cat["snapshot_file"].join(ids, "snapshot_id", "left_semi").groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("times"))
-    lists = reads.chunk_list(cat["file"]).groupBy("file_id", "hash").agg(F.count("*").alias("n"))
+    lists = reads.chunk_list(cat["file"].join(held, "id", "left_semi")).groupBy("file_id", "hash").agg(F.count("*").alias("n"))  # few versions are unpacked
     deltas = lists.join(held, lists.file_id == held.id).groupBy("hash").agg(F.sum(-F.col("n") * F.col("times")).alias("d"))
     return _with(cat, snapshot=cat["snapshot"].join(gone.select("id"), "id", "left_anti"), snapshot_file=cat["snapshot_file"].join(ids, "snapshot_id", "left_anti"), chunk=_add(cat["chunk"], deltas))
 

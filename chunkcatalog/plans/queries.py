@@ -11,6 +11,7 @@ from chunkcatalog.functions import ids, layout, paths, policy
 from chunkcatalog.operators import bytes as bytes_
 from chunkcatalog.operators import catalog, ordered, planners, transitions
 from chunkcatalog.plans.fixtures import Tables, with_tables
+from chunkcatalog.plans.store import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,15 +47,15 @@ def compaction_candidates(t: Tables) -> DataFrame:
     return planners.compaction_candidates(catalog.vlog_usage(t.part_logs, t.part_chunks), _COMPACTION).select("vlog_id", "total_bytes", "live_bytes", "dead_bytes")
 
 
-@query("SELECT hash, vlog_id + 100 AS vlog_id, CAST(sum(compressed_len + 64) OVER (PARTITION BY vlog_id ORDER BY vaddr_offset, hash) - compressed_len - 64 AS BIGINT) AS vaddr_offset FROM doc_chunks WHERE refcount > 0 AND vlog_id < 4", "doc_chunks")
+@query("SELECT hash, vlog_id + 100 AS vlog_id, CAST(sum(compressed_len + 64) OVER (PARTITION BY vlog_id ORDER BY vaddr_offset, hash) - compressed_len - 64 AS BIGINT) AS vaddr_offset FROM doc_chunks WHERE refcount > 0", "doc_chunks")
 def compaction_moves(t: Tables) -> DataFrame:
-    sources = t.spark.range(4).select(F.col("id").alias("vlog_id"), (F.col("id") + 100).alias("dest_vlog"))
+    sources = t.doc_chunks.select("vlog_id").distinct().withColumn("dest_vlog", F.col("vlog_id") + 100)
     return planners.repack(t.doc_chunks, sources)
 
 
-@query("SELECT vlog_id, CAST(sum(compressed_len + 64) AS BIGINT) AS payload, CAST((sum(compressed_len + 64) + 9999) // 10000 * 10000 AS BIGINT) AS padded FROM doc_chunks WHERE refcount > 0 AND vlog_id < 8 GROUP BY vlog_id", "doc_chunks")
+@query("SELECT vlog_id, CAST(sum(compressed_len + 64) AS BIGINT) AS payload, CAST((sum(compressed_len + 64) + 9999) // 10000 * 10000 AS BIGINT) AS padded FROM doc_chunks WHERE refcount > 0 GROUP BY vlog_id", "doc_chunks")
 def padded_rows(t: Tables) -> DataFrame:
-    return planners.repacked_length(t.doc_chunks, t.spark.range(8).withColumnRenamed("id", "vlog_id"), 10_000)
+    return planners.repacked_length(t.doc_chunks, t.doc_chunks.select("vlog_id").distinct(), 10_000)
 
 
 @query(
@@ -141,7 +142,7 @@ GROUP BY ALL"""
 
 @query(_DESTINATIONS.format(moving=f"SELECT * FROM placed WHERE disk_id = {DISK}").replace("m.plog_id, min", "m.plog_id, min"), "placed states")
 def drain_destinations(t: Tables) -> DataFrame:
-    return planners.drain(DISK, t.placed, t.disk, t.node)
+    return planners.drain(DISK, settle(t.placed), t.disk, t.node)
 
 
 @query(
@@ -149,7 +150,7 @@ def drain_destinations(t: Tables) -> DataFrame:
     "placed states",
 )
 def reprotect_plan(t: Tables) -> DataFrame:
-    return planners.reprotect(t.placed, t.disk, t.node)
+    return planners.reprotect(settle(t.placed), t.disk, t.node)
 
 
 @query(
@@ -158,7 +159,7 @@ FROM placed m, (SELECT * FROM states WHERE disk_id = {DEST}) d WHERE m.disk_id =
     "placed states",
 )
 def replace_plan(t: Tables) -> DataFrame:
-    return planners.replace(DISK, DEST, t.placed, t.disk, t.node)
+    return planners.replace(DISK, DEST, settle(t.placed), t.disk, t.node)
 
 
 def _corrupt(t: Tables) -> DataFrame:
@@ -182,13 +183,13 @@ def repair_actions(t: Tables) -> DataFrame:
     "placed states",
 )
 def repair_destinations(t: Tables) -> DataFrame:
-    broken = t.placed.where(F.col("plog_id") % 13 == 0).select("vlog_id", "shard_idx", "plog_id")
-    return planners.repair_destinations(broken, t.placed, t.disk, t.node)
+    placed = settle(t.placed)
+    return planners.repair_destinations(placed.where(F.col("plog_id") % 13 == 0).select("vlog_id", "shard_idx", "plog_id"), placed, t.disk, t.node)
 
 
 @query()
 def rebalance_plan(t: Tables) -> DataFrame:
-    return planners.rebalance(t.placed, t.disk, t.node, planners.RebalancePolicy(band=1000, max_moves=4))
+    return planners.rebalance(settle(t.placed), t.disk, t.node, planners.RebalancePolicy(band=1000, max_moves=4))
 
 
 @query("SELECT plog_id, least(p.length, CASE WHEN protection_scheme = 'EC' THEN v.length // data_shards ELSE v.length END) AS length FROM placed p JOIN vlog v ON p.vlog_id = v.id", "placed vlog")
@@ -224,10 +225,9 @@ def dedup_by_bucket(t: Tables) -> DataFrame:
     return catalog.dedup_by(t.doc_rows, "bucket")
 
 
-@query("SELECT doc_id, hash, refcount, vlog_id FROM doc_rows JOIN doc_chunks USING (hash) WHERE refcount > 0 AND doc_id % 3 = 1", "doc_chunks")
+@query("SELECT doc_id, hash, refcount, vlog_id FROM doc_rows JOIN doc_chunks USING (hash) WHERE refcount > 0", "doc_chunks")
 def live_chunk_probe(t: Tables) -> DataFrame:
-    wanted = t.doc_rows.where(F.col("doc_id") % 3 == 1).select("doc_id", "hash")
-    return catalog.probe(wanted, t.doc_chunks).select("doc_id", "hash", "refcount", "vlog_id")
+    return catalog.probe(t.doc_rows.select("doc_id", "hash"), t.doc_chunks).select("doc_id", "hash", "refcount", "vlog_id")
 
 
 @query("SELECT hash, vlog_id, vaddr_offset, compressed_len FROM doc_chunks WHERE vaddr_offset + 64 + compressed_len > 5000000 AND vaddr_offset + 64 < 90000000", "doc_chunks")
@@ -235,9 +235,9 @@ def range_overlap(t: Tables) -> DataFrame:
     return catalog.in_range(t.doc_chunks, 5_000_000, 90_000_000).select("hash", "vlog_id", "vaddr_offset", "compressed_len")
 
 
-@query("SELECT DISTINCT vlog_id FROM doc_chunks WHERE hash IN (SELECT hash FROM doc_rows WHERE doc_id % 50 = 0)", "doc_chunks")
+@query("SELECT DISTINCT vlog_id FROM doc_chunks WHERE hash IN (SELECT hash FROM doc_rows JOIN labels USING (doc_id))", "doc_chunks")
 def vlogs_with_hashes(t: Tables) -> DataFrame:
-    return catalog.holds_any(t.doc_chunks, t.doc_rows.where(F.col("doc_id") % 50 == 0).select("hash"))
+    return catalog.holds_any(t.doc_chunks, t.doc_rows.join(t.raw("labels").select("doc_id"), "doc_id", "left_semi").select("hash"))
 
 
 @query("SELECT hash, vlog_id, refcount FROM doc_chunks WHERE refcount <= 0 AND hash NOT IN (SELECT hash FROM doc_rows WHERE doc_id IN (SELECT doc_id FROM labels))", "doc_chunks")
@@ -364,31 +364,34 @@ FROM extents, range(0, 100000) r(sector) WHERE sector BETWEEN start // 4096 AND
     "extents",
 )
 def sector_coverage(t: Tables) -> DataFrame:
-    x = ordered.extents(t.doc_extents, ["source"], ["doc_id"], "bytes")
-    return ordered.sector_coverage(x, ["source"])
+    return ordered.sector_coverage(_extents(t), ["source"])
 
 
-def _reads(t: Tables) -> DataFrame:
-    return t.raw("documents").where(F.col("doc_id") % 40 == 7).select("source", F.col("doc_id").alias("read_id"), (F.col("doc_id") * 13 % 20000).alias("r_lo"), (F.col("doc_id") * 13 % 20000 + 5000).alias("r_hi"))
+def _extents(t: Tables) -> DataFrame:
+    return ordered.extents(t.doc_extents, ["source"], ["doc_id"], "bytes", spread=True).select("source", "doc_id", "start", "end")
 
 
 @query(
-    """SELECT e.source, doc_id, read_id, greatest(start, r_lo) - start AS chunk_lo, least("end", r_hi) - start AS chunk_hi, greatest(start, r_lo) - r_lo AS out_at
-FROM extents e JOIN (SELECT source, doc_id AS read_id, doc_id * 13 % 20000 AS r_lo, doc_id * 13 % 20000 + 5000 AS r_hi FROM documents WHERE doc_id % 40 = 7) r ON e.source = r.source AND "end" > r_lo AND start < r_hi""",
+    """SELECT e.source, e.doc_id, read_id, greatest(e.start, r_lo) - e.start AS chunk_lo, least(e."end", r_hi) - e.start AS chunk_hi, greatest(e.start, r_lo) - r_lo AS out_at
+FROM extents e JOIN (SELECT source, doc_id AS read_id, greatest(start - 300, 0) AS r_lo, "end" + doc_id % 5000 AS r_hi FROM extents) r ON e.source = r.source AND e."end" > r_lo AND e.start < r_hi""",
     "extents",
 )
 def read_plan(t: Tables) -> DataFrame:
-    x = ordered.extents(t.doc_extents, ["source"], ["doc_id"], "bytes").select("source", "doc_id", "start", "end")
-    return ordered.read_plan(x, _reads(t), ["source"]).select("source", "doc_id", "read_id", "chunk_lo", "chunk_hi", "out_at")
+    """A read around each document, which reaches into its neighbours."""
+    x = _extents(t)
+    reads = x.select("source", F.col("doc_id").alias("read_id"), F.greatest(F.col("start") - 300, F.lit(0)).alias("r_lo"), (F.col("end") + F.col("doc_id") % 5000).alias("r_hi"))
+    return ordered.read_plan(x, reads, ["source"]).select("source", "doc_id", "read_id", "chunk_lo", "chunk_hi", "out_at")
 
 
 @query(
-    """SELECT source, doc_id, NOT EXISTS (SELECT 1 FROM (SELECT source, doc_id * 13 % 20000 AS r_lo, doc_id * 13 % 20000 + 5000 AS r_hi FROM documents WHERE doc_id % 40 = 7) r WHERE r.source = e.source AND e."end" > r_lo AND e.start < r_hi) AS clean FROM extents e""",
+    """SELECT source, doc_id, NOT EXISTS (SELECT 1 FROM (SELECT source, "end" + doc_id % 7 * 900 AS s_lo, "end" + doc_id % 7 * 900 + 60 AS s_hi FROM extents) r WHERE r.source = e.source AND e."end" > s_lo AND e.start < s_hi) AS clean FROM extents e""",
     "extents",
 )
 def splice_clean_chunks(t: Tables) -> DataFrame:
-    x = ordered.extents(t.doc_extents, ["source"], ["doc_id"], "bytes").select("source", "doc_id", "start", "end")
-    return ordered.splice(x, _reads(t).withColumnsRenamed({"r_lo": "s_lo", "r_hi": "s_hi"}), ["source"]).select("source", "doc_id", "clean")
+    """A dirty span of 60 bytes somewhere behind each document."""
+    x = _extents(t)
+    lo = F.col("end") + F.col("doc_id") % 7 * 900
+    return ordered.splice(x, x.select("source", lo.alias("s_lo"), (lo + 60).alias("s_hi")), ["source"]).select("source", "doc_id", "clean")
 
 
 @query(
@@ -398,8 +401,7 @@ def splice_clean_chunks(t: Tables) -> DataFrame:
     "extents",
 )
 def run_coalesce(t: Tables) -> DataFrame:
-    x = ordered.extents(t.doc_extents, ["source"], ["doc_id"], "bytes").where(F.col("doc_id") % 9 != 0)
-    return ordered.runs(x, ["source"])
+    return ordered.runs(_extents(t).where(F.col("doc_id") % 9 != 0), ["source"])
 
 
 @query(
@@ -538,23 +540,22 @@ def lease_choice(t: Tables) -> DataFrame:
 _KEY, _LABEL = b"integrity key 01", b"chunk"
 
 
-@query("SELECT doc_id, octet_length(encode(text)) AS bytes, true AS tiles, true AS sized FROM documents WHERE octet_length(encode(text)) > 0")
+@query("SELECT doc_id, octet_length(encode(text)) AS bytes, true AS tiles, true AS sized, sha256(text) AS digest FROM documents WHERE octet_length(encode(text)) > 0")
 def cdc_chunks(t: Tables) -> DataFrame:
-    """Content-defined chunks of each text: they tile it, and none but the last is too small or too large."""
-    chunks = bytes_.chunk_files(t.raw("documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("data")), 256, 1024, 4096)
+    """Content-defined chunks of each text: they tile it, put together they are it, and none but the last is too small or too large."""
+    chunks = bytes_.chunk_files(t.raw("documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("data")), 256, 1024, 4096, payload=True)
     x = ordered.extents(chunks, ["path"], ["pos"], "len", "want", "__end")
     last = F.col("pos") == F.max("pos").over(Window.partitionBy("path"))
     x = x.withColumn("ok", (F.col("len") <= 4096) & (last | (F.col("len") >= 256)))
-    return x.groupBy("path").agg(F.sum("len").alias("bytes"), F.bool_and(F.col("want") == F.col("offset")).alias("tiles"), F.bool_and("ok").alias("sized")).select(F.col("path").cast("long").alias("doc_id"), "bytes", "tiles", "sized")
+    return x.groupBy("path").agg(F.sum("len").alias("bytes"), F.bool_and(F.col("want") == F.col("offset")).alias("tiles"), F.bool_and("ok").alias("sized"), F.sort_array(F.collect_list(F.struct("pos", "data"))).alias("parts")).select(F.col("path").cast("long").alias("doc_id"), "bytes", "tiles", "sized", F.sha2(F.aggregate("parts", F.lit(b""), lambda a, c: F.concat(a, c["data"])), 256).alias("digest"))
 
 
-@query("SELECT page_id AS vlog_id, octet_length(encode(html)) AS bytes, 2 AS lost, true AS same FROM pages")
+@query("SELECT page_id AS vlog_id, octet_length(encode(html)) AS bytes, 2 AS lost, sha256(html) AS digest FROM pages")
 def rs_roundtrip(t: Tables) -> DataFrame:
     """Pages as rows of 4 + 2 shards, two shards lost, put together again."""
     rows = t.raw("pages").select(F.col("page_id").alias("vlog_id"), F.lit(0).alias("row"), F.col("html").cast("binary").alias("data"))
     shards = bytes_.encode_rows(rows, 4, 2).where((F.col("shard_idx") != F.col("vlog_id") % 6) & (F.col("shard_idx") != (F.col("vlog_id") + 1) % 6))
-    back = bytes_.decode_rows(shards, 4, 2).select("vlog_id", F.col("data").alias("back"), "lost")
-    return rows.join(back, "vlog_id").select("vlog_id", F.octet_length("back").alias("bytes"), "lost", (F.col("back") == F.col("data")).alias("same"))
+    return bytes_.decode_rows(shards, 4, 2).select("vlog_id", F.octet_length("data").alias("bytes"), "lost", F.sha2("data", 256).alias("digest"))
 
 
 @query("SELECT page_id AS plog_id, (octet_length(encode(html)) + 4095) // 4096 AS sectors, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS corrupt, 0 AS bad_blocks, octet_length(encode(html)) AS length FROM pages")
@@ -565,13 +566,15 @@ def scrub_logs(t: Tables) -> DataFrame:
     return bytes_.scrub(logs.withColumn("content", F.when(F.col("plog_id") % 3 == 0, broken).otherwise(F.col("content"))), _KEY)
 
 
-@query("SELECT doc_id AS id, octet_length(encode(text)) AS bytes, true AS same FROM documents")
+@query("SELECT doc_id AS id, octet_length(encode(text)) AS bytes, octet_length(encode(text)) < 16 AS may_equal, sha256(text) AS digest FROM documents")
 def ctr_roundtrip(t: Tables) -> DataFrame:
     """Texts encrypted and decrypted again."""
     x = t.raw("documents").select(F.col("doc_id").alias("id"), ids.hash64(F.col("text")).alias("hash64"), (F.col("doc_id") % 50).alias("offset"), F.col("text").cast("binary").alias("data"))
     sealed = bytes_.crypt(x, _KEY, _LABEL)
-    back = bytes_.crypt(x.drop("data").join(sealed, "id"), _KEY, _LABEL).withColumnRenamed("data", "back")
-    return x.join(back, "id").select("id", F.octet_length("back").alias("bytes"), (F.col("back") == F.col("data")).alias("same"))
+    both = x.join(sealed.withColumnRenamed("data", "sealed"), "id")
+    same = (F.octet_length("data") < 16) | (F.col("sealed") == F.col("data"))  # 16 bytes or more do not stay as they are
+    back = bytes_.crypt(both.select("id", "hash64", "offset", F.col("sealed").alias("data")), _KEY, _LABEL)
+    return back.join(both.select("id", same.alias("may_equal")), "id").select("id", F.octet_length("data").alias("bytes"), "may_equal", F.sha2("data", 256).alias("digest"))
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS file_id, CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS length, CASE WHEN doc_id % 5 = 0 THEN 'crc' ELSE '' END AS error FROM documents")
@@ -598,20 +601,20 @@ def unreachable_nodes(t: Tables) -> DataFrame:
     return planners.unreachable(ids_.withColumnRenamed("doc_id", "node"), edges, ids_.where("doc_id % 11 = 3").withColumnRenamed("doc_id", "node"))
 
 
-@query("SELECT path, false AS is_dir, size FROM page_heads WHERE file_id % 2 = 0 UNION ALL SELECT DISTINCT parent, true, 0 FROM page_heads WHERE parent <> '' AND parent NOT IN (SELECT path FROM page_heads)", "page_heads")
+@query("SELECT path, false AS is_dir, size FROM page_heads UNION ALL SELECT DISTINCT parent, true, 0 FROM page_heads WHERE parent <> '' AND parent NOT IN (SELECT path FROM page_heads)", "page_heads")
 def stat_paths(t: Tables) -> DataFrame:
     heads = t.page_heads
     one = F.array(F.struct(F.lit("").alias("hash"), F.col("size").cast("int").alias("len")))
     files = heads.select(F.col("file_id").alias("id"), one.alias("chunks"))
     dirs = catalog.implied_dirs(heads).select("path", F.lit(0).cast("long").alias("mtime"))
-    wanted = heads.where("file_id % 2 = 0").select("path").union(heads.where("parent <> ''").select("parent")).distinct()
+    wanted = heads.select("path").union(heads.where("parent <> ''").select("parent")).distinct()
     flat = heads.select("path", "file_id", F.lit(0).cast("long").alias("mtime"))
     return catalog.stat(wanted, flat, files, dirs).select("path", "is_dir", "size")
 
 
-@query("SELECT w.path, coalesce(h.file_id, 0) AS file_id FROM (SELECT 'conv/' || CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id < 300) w LEFT JOIN conv_heads h USING (path)", "conv_heads")
+@query("SELECT w.path, coalesce(h.file_id, 0) AS file_id FROM (SELECT 'conv/' || CAST(doc_id AS VARCHAR) AS path FROM documents) w LEFT JOIN conv_heads h USING (path)", "conv_heads")
 def head_lookup(t: Tables) -> DataFrame:
-    wanted = t.raw("documents").where("doc_id < 300").select(F.concat(F.lit("conv/"), F.col("doc_id").cast("string")).alias("path"))
+    wanted = t.raw("documents").select(F.concat(F.lit("conv/"), F.col("doc_id").cast("string")).alias("path"))
     return catalog.head_version(wanted, catalog.latest(t.conv_files).select("path", F.col("id").alias("file_id")))
 
 

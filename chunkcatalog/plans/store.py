@@ -13,10 +13,12 @@ Catalog = dict[str, DataFrame]
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder that the cluster names; choose one only where none is set."""
+    """Cut lineage through the shared checkpoint folder that the cluster names; choose one only where none is set and all tasks run on this machine."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="chunkcatalog-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -56,8 +58,11 @@ def load(spark: SparkSession, folder: str, version: int | None = None, names: tu
 
 
 def append_once(log: DataFrame, batch: DataFrame) -> DataFrame:
-    """Positioned appends ``(log_id, offset, data)``: repeats are dropped if they are equal, and an error if they differ."""
-    known = log.select("log_id", "offset", F.col("data").alias("__old"))
-    x = batch.join(known, ["log_id", "offset"], "left")
-    same = F.when(F.col("__old").isNull(), F.lit(False)).when(F.col("__old") == F.col("data"), F.lit(True)).otherwise(F.raise_error(F.lit("other bytes stand there")).cast("boolean"))
+    """Positioned appends ``(log_id, offset, data)``: repeats, in the log or in the batch, are dropped if they are equal, and an error if they differ."""
+    other = F.raise_error(F.lit("other bytes stand there"))
+    once = batch.groupBy("log_id", "offset").agg(F.min("data").alias("data"), F.max("data").alias("__most"))
+    once = once.withColumn("data", F.when(F.col("data").eqNullSafe(F.col("__most")), F.col("data")).otherwise(other.cast("binary"))).drop("__most")
+    known = log.select("log_id", "offset", F.col("data").alias("__old"), F.lit(True).alias("__known"))
+    x = once.join(known, ["log_id", "offset"], "left")
+    same = F.when(F.col("__known").isNull(), F.lit(False)).when(F.col("__old").eqNullSafe(F.col("data")), F.lit(True)).otherwise(other.cast("boolean"))
     return log.unionByName(x.withColumn("__same", same).where("NOT __same").select(*log.columns))
