@@ -90,7 +90,8 @@ def _ordered(pivots: np.ndarray, top: float, of_base: int, of_query: int):
     return run
 
 
-def _search_cell(k: int, prefix: int, posted: int, keep: float, pivots: int):
+def _search_cell(k: int, prefix: int, posted: int, reads: int, keep: float, pivots: int, at_once: int = 64):
+    """All queries of a cell against all its vectors, in slices of ``at_once`` queries that go through as matrices."""
     schema = pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("same", pa.bool_())])
 
     def search(cell: pa.Table) -> pa.Table:
@@ -102,39 +103,43 @@ def _search_cell(k: int, prefix: int, posted: int, keep: float, pivots: int):
             return schema.empty_table()
         base_rows = base_rows.take(pa.array(np.argsort(base_rows["key"].to_numpy(), kind="stable")))  # one order, whatever order rows come in
         base, asked = (_matrix(t["v"].combine_chunks()) for t in (base_rows, query_rows))
+        near, wanted_files = (_matrix(t["near"].combine_chunks(), np.int32) for t in (base_rows, query_rows))
+        keys = query_rows["key"].to_numpy()
         ids = base_rows["ids"].combine_chunks()
         ends, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy()
-        near = _matrix(base_rows["near"].combine_chunks(), np.int32)
-        files, prefixes = near[:, :posted], near[:, :prefix]
-        place = np.full((len(base), pivots), prefix, np.int16)
-        np.put_along_axis(place, prefixes, np.arange(prefixes.shape[1], dtype=np.int16)[None, :].repeat(len(base), 0), 1)
-        place = np.ascontiguousarray(place.T)  # one row for each pivot
+        m = min(prefix, near.shape[1])
+        twice = np.full((pivots, len(base)), 2 * m, np.int16)  # a row for each pivot: twice its place in each vector's order
+        np.put_along_axis(twice, near[:, :m].T, 2 * np.arange(m, dtype=np.int16)[:, None].repeat(len(base), 1), 0)
         found: list[tuple] = []
-        for key, q, order in zip(query_rows["key"].to_pylist(), asked, query_rows["near"].to_pylist(), strict=True):
-            rank = np.full(pivots, len(order), np.int32)
-            rank[order] = np.arange(len(order))
-            here = np.flatnonzero(rank[files].min(axis=1) == rank[pivot])  # others were met in an earlier file
-            if not len(here):
-                continue
-            first = order[:prefix]
-            # Footrule distance less what does not depend on the candidate: pivots of both cost their difference, others their distance to ``prefix``.
-            own = np.arange(len(first), dtype=np.int16)[:, None]
-            at = place[first][:, here]
-            distance = (np.abs(at - own) - (prefix - at)).sum(axis=0, dtype=np.int32)
-            wanted = min(len(here), max(math.ceil(keep * len(here)), 4 * k))
-            if wanted < len(here):
-                here = here[np.argpartition(distance.astype(np.int64) * len(base) + here, wanted - 1)[:wanted]]
-            score = (base[here] * q).sum(axis=1)
-            lowest = np.argpartition(-score, k)[: k + 1] if len(score) > k + 1 else np.arange(len(score))
-            lowest = np.flatnonzero(score >= score[lowest].min())  # ties stay
-            for i in lowest:
-                mine = flat[ends[here[i]] : ends[here[i] + 1]]
-                found.append((np.full(len(mine), key), mine, np.full(len(mine), score[i]), np.full(len(mine), bool((base[here[i]] == q).all()))))
-        if not found:
-            return schema.empty_table()
+        for s in range(0, len(asked), at_once):
+            q, order, key = asked[s : s + at_once], wanted_files[s : s + at_once], keys[s : s + at_once]
+            rank = np.full((len(q), pivots), reads, np.int16)
+            np.put_along_axis(rank, order[:, :reads], np.arange(min(reads, order.shape[1]), dtype=np.int16)[None, :].repeat(len(q), 0), 1)
+            first = rank[:, near[:, 0]]
+            for j in range(1, posted):
+                np.minimum(first, rank[:, near[:, j]], out=first)
+            here = first == rank[:, pivot][:, None]  # others were met in an earlier file
+            # Footrule distance less what is the same for all candidates: the pivot at place i of the query, found at place p, counts max(i, 2 p - i).
+            distance = np.zeros(here.shape, np.int16)
+            for i in range(m):
+                distance += np.maximum(twice[order[:, i]] - np.int16(i), np.int16(i))
+            distance[~here] = np.iinfo(np.int16).max
+            many = here.sum(axis=1)
+            stay = np.maximum(np.minimum(many, np.maximum(np.ceil(keep * many).astype(np.int64), 4 * k)), 1)
+            limit = np.sort(distance, axis=1)[np.arange(len(q)), stay - 1]
+            score = np.where(here & (distance <= limit[:, None]), q @ base.T, -np.inf)
+            most = min(len(base), k + 1)
+            floor = np.partition(score, len(base) - most, axis=1)[:, len(base) - most]
+            row, at = np.nonzero((score >= (floor - 1e-9 * np.abs(floor))[:, None]) & (score > -np.inf))  # ties stay
+            exact = (base[at] * q[row]).sum(axis=1)
+            same = (base[at] == q[row]).all(axis=1)
+            times = ends[at + 1] - ends[at]
+            each = np.repeat(np.arange(len(at)), times)
+            nth = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+            found.append((key[row][each], flat[ends[at][each] + nth], exact[each], same[each]))
         key, vec_id, score, same = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.lexsort((vec_id, -score, key))
-        starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(order) else np.zeros(0, np.int64)
         nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
         order = order[nth <= k]  # the k + 1 first: one of them may be the query itself
         return pa.table([pa.array(c[order]) for c in (key, vec_id, score, same)], schema=schema)
@@ -173,7 +178,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, pivots: int | None = None,
     else:
         spread = spread.withColumn("n", F.element_at(parts, F.col("pivot") + 1))
         spread = spread.withColumn("b", F.explode(F.when(F.col("is_query"), every(F.col("n.b"))).otherwise(one(F.col("n.b"))))).withColumn("q", F.explode(F.when(F.col("is_query"), one(F.col("n.q"))).otherwise(every(F.col("n.q"))))).drop("n")
-    found = spread.groupBy("pivot", "b", "q").applyInArrow(_search_cell(k, prefix, posted, keep, len(p)), "key long, vec_id long, score double, same boolean")
+    found = spread.groupBy("pivot", "b", "q").applyInArrow(_search_cell(k, prefix, posted, reads, keep, len(p)), "key long, vec_id long, score double, same boolean")
     order = [F.desc("score"), F.col("vec_id")]
     best = found.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy(*order))).where(F.col("n") <= k + 1).drop("n")
     by_query = asked.join(keyed, "v").select(F.col("vec_id").alias("query_id"), "key").join(best, "key").where(~F.col("same") | (F.col("vec_id") != F.col("query_id")))
