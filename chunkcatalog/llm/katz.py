@@ -13,7 +13,8 @@ How it is distributed. Words are hashed to 64 bits as they are read, batch by ba
    compressed). Words with a large share of all tokens are spread by h. A partition holds the counts of its words and of all pairs that end
    in them; from these it takes sums for each document. Discounts of pairs are not known yet, so occurrences of pairs seen
    up to K times are counted by r instead.
-3. For each history a partition sends how many pairs of each r it has and their P(w), to a partition of h; those meet the
+3. For each history a partition sends how many pairs of each r it has and their P(w), to a partition of h (frequent ones to several, which take
+   their batches in turn); those meet the
    occurrences in held-out documents that were not seen, which back off with that history, and are sent to their batch.
 4. The sums are written; with the pairs' counts of counts the discounts are known, and each batch adds its documents up.
 
@@ -21,8 +22,8 @@ The number of partitions follows the number of tokens (``PER_PARTITION``), so a
 moves is proportional to it. Sums are over the same rows in the same order, so reruns agree.
 
 Cases: null text counts as empty: one token, its end; a null doc_id is held out; repeated rows have a row each and count
-as often as they occur; without training tokens only the unknown word has a probability, 1; where counts of counts give
-no discounts (small corpora), absolute discounting is used; extra columns are ignored.
+as often as they occur; without training tokens only the unknown word has a probability, 1; where counts of counts misbehave, as in small
+corpora, Good-Turing's smoothed form gives the discounts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ from chunkcatalog.llm.common import cut
 
 K = 5
 DELTA = 0.1
+SLOPE = -1.1
 PER_PARTITION = 3_000_000
 LEAST_PARTITIONS = 24
 BATCH_BYTES = 16 << 20
@@ -192,17 +194,31 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """d(1) to d(K) from the counts of counts n[0] (of 1) to n[K] (of K + 1)."""
-    r = np.arange(1, K + 1)
+    """Good-Turing's d(1) to d(K) from the counts of counts n[0] (of 1) to n[K] (of K + 1), in Katz's form, which leaves counts above K alone.
+
+    Adjusted counts r* are Gale and Sampson's simple Good-Turing: Turing's (r + 1) n(r + 1) / n(r) while it differs significantly (by 1.65 deviations) from that of a
+    line fitted to log n(r) over log r, and the line's from there on. A Turing estimate that would give no discount between 0 and 1 is replaced by the line's, for that r
+    alone. The line falls faster than 1 / r (``SLOPE`` at the least), so its discounts always lie between 0 and 1; small tables take it too.
+    """
+    r = np.arange(1, K + 2)
     n = np.array(n, np.float64)
-    if n.min() > 0:
-        common = (K + 1) * n[K] / n[0]
-        if common < 1:
-            d = ((r + 1) * n[1:] / (r * n[:-1]) - common) / (1 - common)
-            if (d > 0).all() and (d < 1).all():
-                return d
-    held = n[0] / (n[0] + 2 * n[1]) if n[0] > 0 and n[1] > 0 else 0.5
-    return (r - held) / r
+    seen = n > 0
+    slope = SLOPE
+    if seen.sum() > 1:
+        x, y = np.log(r[seen]), np.log(n[seen])
+        slope = min(SLOPE, float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()))
+    common = float(K + 1) ** (slope + 1)  # (K + 1) n(K + 1) / n(1) on the line
+    ratio = ((r[:K] + 1) / r[:K]) ** (slope + 1)  # r* / r on the line
+    for i in range(K):
+        if n[i] == 0 or n[i + 1] == 0:
+            break
+        turing = (i + 2) * n[i + 1] / n[i]
+        deviation = (i + 2) * np.sqrt(n[i + 1] * (1 + n[i + 1] / n[i])) / n[i]
+        if abs(turing - ratio[i] * (i + 1)) <= 1.65 * deviation:
+            break
+        if common < turing / (i + 1) < 1:
+            ratio[i] = turing / (i + 1)
+    return (ratio - common) / (1 - common)
 
 
 def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -235,7 +251,7 @@ def _occurrences(parts: int, hot: np.ndarray):
             del part
             rows = [(batch % parts, "batch", batch, _pack(ids=ids, held_out=held_out, counts=_least(counts)), None)]
             packed_held = np.packbits(held_out)
-            for p in range(parts):
+            for p in np.flatnonzero(np.diff(ends)).tolist():
                 pick = order[ends[p] : ends[p + 1]]
                 if len(pick):
                     words, w_at = np.unique(tokens[pick], return_inverse=True)
@@ -262,20 +278,28 @@ def _words_by_part(parts: int, hot: np.ndarray):
             part = _part_of(w, w, hot, parts)
             order = np.lexsort((w, part))
             ends = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, "words", -1, _pack(w=_gaps(w[order[a:b]]), c=_least(c[order[a:b]])), None) for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+            rows = [(p, "words", -1, _pack(w=_gaps(w[order[a:b]]), c=_least(c[order[a:b]])), None) for p in np.flatnonzero(np.diff(ends)).tolist() for a, b in [(ends[p], ends[p + 1])]]
             yield from _table(rows).to_batches()
 
     return pack
 
 
-def _by_history(parts: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    q = (_mixed(h + np.uint64(17)) % np.uint64(parts)).astype(np.int64)
+def _slices(h: np.ndarray, hot: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Over how many partitions each history is spread: one, but for the frequent ones ``hot`` (sorted), which have as many as their share of all tokens asks."""
+    at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
+    return np.where(hot[at] == h, shares[at], 1) if len(hot) else np.ones(len(h), np.int64)
+
+
+def _by_history(parts: int, h: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    q = (_mixed(h + np.uint64(17) + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(q, kind="stable")
     return order, np.searchsorted(q[order], np.arange(parts + 1))
 
 
 def _count_pairs(parts: int, hot_w: np.ndarray, hot_c: np.ndarray, total: int, d: np.ndarray, unknown: float):
     """Step 2 for one partition of words."""
+    by_hash = np.argsort(hot_w)
+    hot_h, shares = hot_w[by_hash], np.clip(-(-hot_c[by_hash] * 4 * parts // max(total, 1)), 1, parts).astype(np.int64)
 
     def reduce(group: pa.Table) -> pa.Table:
         out = _table(rows_of(group))
@@ -318,10 +342,13 @@ def _count_pairs(parts: int, hot_w: np.ndarray, hot_c: np.ndarray, total: int, d
             word = np.where(key < 0, -1, key // size)
             count = counts[word]
             gain = -np.log10(np.maximum(count, 1)) + np.where(r > K, np.log10(np.maximum(r, 1) - DELTA), np.where(r == 0, p_word[word], 0.0))
-            of_r = np.bincount(doc.astype(np.int64) * (K + 1) + np.where(r > K, 0, r), minlength=n * (K + 1)).reshape(n, K + 1)[:, 1:]
-            base = np.bincount(doc, weights=np.log10(count + 1.0), minlength=n)
-            total_gain = np.bincount(doc, weights=gain, minlength=n)
-            rows.append((batch, "docs", batch, _pack(base=base, gain=total_gain, known=_least(np.bincount(doc, weights=count > 0, minlength=n).astype(np.int64)), of_r=_least(of_r.ravel())), None))
+            # Sums of the documents that have words here; others would only add zeros.
+            mine, at_doc = np.unique(doc, return_inverse=True)
+            few = len(mine)
+            of_r = np.bincount(at_doc * (K + 1) + np.where(r > K, 0, r), minlength=few * (K + 1)).reshape(few, K + 1)[:, 1:]
+            base = np.bincount(at_doc, weights=np.log10(count + 1.0), minlength=few)
+            total_gain = np.bincount(at_doc, weights=gain, minlength=few)
+            rows.append((batch, "docs", batch, _pack(mine=_least(np.diff(mine, prepend=np.uint32(0))), docs=n, base=base, gain=total_gain, known=_least(np.bincount(at_doc, weights=count > 0, minlength=few).astype(np.int64)), of_r=_least(of_r.ravel())), None))
             lost = r == 0
             if lost.any():
                 lost_h.append((key % size)[lost])
@@ -337,15 +364,17 @@ def _count_pairs(parts: int, hot_w: np.ndarray, hot_c: np.ndarray, total: int, d
             local = np.searchsorted(used, history)
             mass = np.bincount(local, weights=10.0 ** p_word[word], minlength=len(used))
             by_class = np.bincount(local * (K + 1) + classes - 1, minlength=len(used) * (K + 1)).reshape(-1, K + 1)
-            order, ends = _by_history(parts, before[used])
-            for q in range(parts):
-                pick = order[ends[q] : ends[q + 1]]
-                if len(pick):
-                    rows.append((-1 - q, "histories", -1, _pack(h=_gaps(before[used][pick]), mass=mass[pick], n=_least(by_class[pick].ravel())), None))
+            # What is known of a frequent history goes to each of its slices.
+            times = _slices(before[used], hot_h, shares)
+            each = np.repeat(np.arange(len(used)), times)
+            order, ends = _by_history(parts, before[used][each], np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times))
+            for q in np.flatnonzero(np.diff(ends)).tolist():
+                pick = np.unique(each[order[ends[q] : ends[q + 1]]])  # two slices may share a partition
+                rows.append((-1 - q, "histories", -1, _pack(h=_gaps(before[used][pick]), mass=mass[pick], n=_least(by_class[pick].ravel())), None))
         if lost_h:
             h, batch, doc = before[np.concatenate(lost_h)], np.concatenate(lost_batch), np.concatenate(lost_doc)
-            order, ends = _by_history(parts, h)
-            for q in range(parts):
+            order, ends = _by_history(parts, h, _mixed(batch.astype(np.uint64)) % _slices(h, hot_h, shares).astype(np.uint64))
+            for q in np.flatnonzero(np.diff(ends)).tolist():
                 pick = order[ends[q] : ends[q + 1]]
                 if len(pick):
                     names, at = np.unique(h[pick], return_inverse=True)
@@ -371,9 +400,13 @@ def _met(group: pa.Table) -> list[tuple]:
         total = None
         # One order of summation, whatever order the rows come in.
         for x in sorted((_unpack(blobs[i].as_py()) for i, k in enumerate(kinds) if k == "docs"), key=lambda x: x["gain"].tobytes()):
-            now = {k: v.astype(np.float64 if v.dtype.kind == "f" else np.int64) for k, v in x.items()}
-            total = now if total is None else {k: total[k] + v for k, v in now.items()}
+            if total is None:
+                total = {"base": np.zeros(x["docs"]), "gain": np.zeros(x["docs"]), "known": np.zeros(x["docs"], np.int64), "of_r": np.zeros((x["docs"], K), np.int64)}
+            mine = np.cumsum(x["mine"], dtype=np.int64)
+            for k, v in total.items():
+                v[mine] += x[k].reshape(len(mine), *v.shape[1:])
         if total:
+            total["of_r"] = total["of_r"].ravel()
             rows.append((part, "docs", part, _pack(**total), None))
         return rows
     rows = [(part, "counts", -1, None, x) for k, x in zip(kinds, group["nums"].to_pylist(), strict=True) if k == "counts"]

@@ -56,6 +56,32 @@ def brute(rows):
     return out, total, (p, uni, after)
 
 
+def test_discounts_are_simple_good_turing():
+    """Against the published recipe: a line through log counts of counts by numpy's own fit, Turing's estimate while it differs significantly, Katz's form."""
+    rng = np.random.default_rng(3)
+    cases = [[60000, 9000, 3500, 2000, 1100, 800], [10**6, 120_000, 40_000, 26_000, 20_000, 12_000], [900, 300, 140, 90, 60, 44], [5, 9, 20, 30, 1, 1], [3, 0, 1, 0, 0, 0], [7, 0, 0, 0, 0, 0], [0] * 6]
+    cases += [sorted(rng.integers(1, 10_000, 6).tolist(), reverse=True) for _ in range(40)]
+    turing_used = 0
+    for n in cases:
+        seen = [(math.log(r), math.log(c)) for r, c in enumerate(n, 1) if c]
+        slope = min(-1.1, np.polyfit(*zip(*seen, strict=True), 1)[0]) if len(seen) > 1 else -1.1
+        line = lambda r, slope=slope: r * ((r + 1) / r) ** (slope + 1)
+        top = 6 ** (slope + 1)
+        adjusted, on = [], False
+        for r in range(1, 6):
+            on = on or n[r - 1] == 0 or n[r] == 0
+            if not on:
+                turing = (r + 1) * n[r] / n[r - 1]
+                on = abs(turing - line(r)) <= 1.65 * math.sqrt((r + 1) ** 2 * n[r] / n[r - 1] ** 2 * (1 + n[r] / n[r - 1]))
+            good = not on and top < turing / r < 1
+            turing_used += good
+            adjusted.append(turing if good else line(r))
+        want = [(a / r - top) / (1 - top) for r, a in enumerate(adjusted, 1)]
+        got = katz.discounts(n)
+        assert got == pytest.approx(want, rel=1e-9) and all(0 < d < 1 for d in got)
+    assert turing_used > 20
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
 

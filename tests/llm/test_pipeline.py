@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from chunkcatalog.llm import queries
-from test_operators import WORD, language_rows, slow_fingerprint, some_texts, water_fill
+from test_operators import WORD, language_rows, some_texts, water_fill
 
 
 def folder(spark, tmp_path):
@@ -22,23 +22,45 @@ def folder(spark, tmp_path):
     return rows
 
 
+def shingles(text):
+    words = WORD.findall(text.lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated doc_ids with equal and other texts, repeated rows, an empty table and extra columns: no clean text is lost, none multiplied."""
+    texts = some_texts(12, 31, 25, 40)
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (8, texts[4]), (8, texts[4]), (9, texts[4]), (None, texts[4]), (10, texts[5]), (None, texts[6])]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t), "x", k % 2) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row string, size int")
+    spark.createDataFrame([(1, texts[11]), (1, texts[6]), (None, texts[5])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    single = corpus_pipeline.near_dedup(spark, table, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in single.collect()) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (10, texts[5]), (0, texts[6])])
+    pure = corpus_pipeline.decontaminate(spark, table, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in pure.collect()) == sorted((i or 0, t) for i, t in rows if t not in (texts[5], texts[6]))
+    assert sorted(r.text for r in corpus_pipeline.sanitise(spark, table, str(tmp_path)).collect()) == sorted(t for _, t in rows)
+    mixed = corpus_pipeline.mix_sources(spark, table, str(tmp_path)).collect()
+    assert len(mixed) == len(rows) and sum(r.taken for r in mixed) == int(1.5 * sum(len(WORD.findall(t)) for _, t in rows))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     rows = folder(spark, tmp_path)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns = docs.columns
     kept = [(i, t, s) for i, t, _, s in rows if t and any(c.isalpha() for c in t)]
-    fps = {i: slow_fingerprint(t) for i, t, _ in kept}
-    parent = {i: i for i in fps}
+    sets = {i: shingles(t) for i, t, _ in kept}
+    parent = {i: i for i in sets}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(fps)
+    ids = sorted(sets)
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            if (fps[a] ^ fps[b]).bit_count() <= 3:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 ra, rb = find(a), find(b)
                 parent[max(ra, rb)] = min(ra, rb)
     single = [(i, t, s) for i, t, s in kept if find(i) == i]
