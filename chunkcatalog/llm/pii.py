@@ -11,8 +11,8 @@ In documents with c, terms whose disclosure is ``remove_at`` or above are remove
 term: the longest beginning of theirs that is itself a term, in at least ``MORE_GENERAL`` times as many documents, and not telling; without one, ``[TERM]``.
 Co-occurrence has no reach: a term anywhere in a document counts, and is treated, like any other.
 
-Only DataFrame functions are used. Words of documents with entities alone are counted by context; of all other texts only terms
-that may still reach the threshold are counted (s / (s + 1) bounds it), and combined before they are shuffled. Placing and replacing n spans of one text takes
+Only DataFrame functions are used. Of documents with entities words are counted, and by context only those frequent enough to reach the threshold
+(bounds follow from the formula); of all other texts only terms that may still reach it are counted, and combined before they are shuffled. Placing and replacing n spans of one text takes
 time in proportion to n and to the text (sums and pieces are made by blocks).
 
 Cases: null text counts as empty and has no spans (sanitised it stays null); spans are in code points, end exclusive;
@@ -22,6 +22,8 @@ and get the same spans; an entity that every document has tells nothing; an empt
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,6 +45,7 @@ REMOVE_AT = 0.75
 MORE_GENERAL = 4
 BROADCAST_BYTES = 16 << 20
 _BLOCK = 64
+_FEW = 64
 _PIECE = 8192
 
 
@@ -148,17 +151,31 @@ def occurrences(held: DataFrame) -> DataFrame:
     return x.select("row", *map(_has, range(len(KINDS))), F.explode(words).alias("t")).select("row", *map(_has, range(len(KINDS))), "t.*")
 
 
+def _small(terms: DataFrame) -> bool:
+    """Whether a checkpointed table of terms has few enough bytes, as measured, to be broadcast."""
+    return (terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def _bounded(terms: DataFrame) -> DataFrame:
-    """Broadcast a checkpointed table of terms if its measured bytes are few enough."""
-    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
-    return F.broadcast(terms) if size <= BROADCAST_BYTES else terms
+    return F.broadcast(terms) if _small(terms) else terms
 
 
 def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``(term, n_t)``: in how many documents each of ``terms(term)``, a checkpointed table, occurs."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    x = docs.where("text IS NOT NULL").select(F.explode(words).alias("term")).join(_bounded(terms), "term", "left_semi")
-    return x.groupBy("term").agg(F.count("*").alias("n_t"))
+    x = docs.where("text IS NOT NULL").select(F.explode(words).alias("term"))
+    if _small(terms):
+        return x.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    return x.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+
+
+def _best_shares(total: int, n_c: int) -> list[float]:
+    """For n(c, t) = 0, 1, ... ``_FEW`` (and more): the largest disclosure that any n(t) allows, contexts aside."""
+    if n_c >= total:
+        return [0.0] * (_FEW + 1)
+    bits = math.log2(total / n_c)
+    # Of n(t) = n(c, t) + k the best k is small: the discount gains less than 1 / n(t) by one more, PMI loses about as much over ``bits``.
+    return [0.0] + [max((1 - math.log2((n + k) / n) / bits) * (n + k) / (n + k + 1) for k in range(256)) for n in range(1, _FEW)] + [1.0]
 
 
 def disclosures(docs: DataFrame, held: DataFrame, generalise_at: float = GENERALISE_AT) -> tuple[DataFrame, DataFrame]:
@@ -166,15 +183,18 @@ def disclosures(docs: DataFrame, held: DataFrame, generalise_at: float = GENERAL
     kinds = range(len(KINDS))
     total = docs.count()
     n_c = held.agg(*(F.count_if(_held(i)) for i in kinds)).first()
-    words = occurrences(held)
+    found = F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
+    x = held.select(*(_held(i).alias(_has(i)) for i in kinds), found.alias("found"))
+    counted = F.concat(F.transform(F.array_distinct("found"), lambda w: F.struct(w.alias("term"), F.lit(1).alias("row"))), F.transform("found", lambda w: F.struct(w.alias("term"), F.lit(0).alias("row"))))
+    x = x.select(*map(_has, kinds), F.explode(counted).alias("t")).groupBy(F.col("t.term").alias("term"))
+    terms = x.agg(*(F.count_if(F.col(_has(i)) & (F.col("t.row") == 1)).alias(f"n_{i}") for i in kinds), F.count_if(F.col("t.row") == 0).alias("times"))
+    # No more contexts than occurrences: most terms are too rare to reach the threshold whatever their contexts and frequency are.
+    most = [F.element_at(F.array(*map(F.lit, _best_shares(total, n))), F.least(F.col(f"n_{i}"), F.lit(_FEW)).cast("int") + 1) if (n := n_c[i] or 0) else F.lit(0.0) for i in kinds]
+    terms = cut(terms.where(F.greatest(*most) * F.col("times") >= generalise_at * (F.col("times") + 1) - 1e-9))
+    words = occurrences(held).join(_bounded(terms.select("term")), "term", "left_semi")
     contexts = words.groupBy("term", "context").agg(*(F.max(_has(i)).alias(_has(i)) for i in kinds)).groupBy("term").agg(*(F.count_if(_has(i)).alias(f"s_{i}") for i in kinds))
-    rows = words.select("row", "term", *map(_has, kinds))
-    both = rows.groupBy("row", "term").agg(*(F.max(_has(i)).alias(_has(i)) for i in kinds), F.count("*").alias("times"))
-    # Rows that are repeated share a key; each counts as a document.
-    copies = held.groupBy("row").agg(F.count("*").alias("copies"))
-    n_ct = both.join(copies, "row").groupBy("term").agg(*(F.sum(F.when(F.col(_has(i)), F.col("copies")).otherwise(0)).alias(f"n_{i}") for i in kinds))
     stats = [F.struct(F.lit(i).alias("kind"), F.col(f"s_{i}").alias("s"), F.col(f"n_{i}").alias("n_ct"), F.lit(n_c[i] or 0).cast("long").alias("n_c")) for i in kinds]
-    may = contexts.join(n_ct, "term").select("term", F.explode(F.array(*stats)).alias("x")).select("term", "x.*")
+    may = contexts.join(terms, "term").select("term", F.explode(F.array(*stats)).alias("x")).select("term", "x.*")
     may = cut(may.where((F.col("n_c") > 0) & (F.col("n_c") < total) & (F.col("s") >= generalise_at * (F.col("s") + 1))))
     beginnings = F.transform(F.sequence(F.lit(3), F.greatest(F.length("term"), F.lit(3))), lambda n: F.substr(F.col("term"), F.lit(1), n))
     wanted = cut(may.select("term").distinct().select(F.explode(F.concat(beginnings, F.array("term"))).alias("term")).distinct())
@@ -208,9 +228,9 @@ def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float
     marked = cut(marked.withColumn("text", F.when(F.size("base") > 0, F.col("text"))))  # patterns run over the texts once
     held = marked.where("size(base) > 0")
     risky, often = disclosures(docs, held, generalise_at)
-    risky = more_general(risky, often).withColumn("act", F.when(F.col("disclosure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise")))
+    risky = cut(more_general(risky, often).withColumn("act", F.when(F.col("disclosure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))))
     has = F.element_at(F.array(*map(_has, range(len(KINDS)))), F.col("kind") + 1)
-    hit = occurrences(held).join(risky, "term").where(has).groupBy("row", "start", "end").agg(F.max_by(F.struct("act", F.when(F.col("act") == "remove", "").otherwise(F.col("by")).alias("by")), F.struct("disclosure", "kind")).alias("best"))
+    hit = occurrences(held).join(_bounded(risky), "term").where(has).groupBy("row", "start", "end").agg(F.max_by(F.struct("act", F.when(F.col("act") == "remove", "").otherwise(F.col("by")).alias("by")), F.struct("disclosure", "kind")).alias("best"))
     # Terms that overlap a base span go: one that began before and has not ended, or one that begins inside.
     hit = hit.select("row", "start", "end", "best.act", "best.by")
     base = held.join(hit.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).select("row", F.explode("base").alias("s")).select("row", "s.start", "s.end", F.lit(None).cast("string").alias("act"), F.lit(None).cast("string").alias("by"))
