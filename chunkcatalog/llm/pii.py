@@ -151,21 +151,16 @@ def occurrences(held: DataFrame) -> DataFrame:
     return x.select("row", *map(_has, range(len(KINDS))), F.explode(words).alias("t")).select("row", *map(_has, range(len(KINDS))), "t.*")
 
 
-def _small(terms: DataFrame) -> bool:
-    """Whether a checkpointed table of terms has few enough bytes, as measured, to be broadcast."""
-    return (terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0) <= BROADCAST_BYTES
-
-
 def _bounded(terms: DataFrame) -> DataFrame:
-    return F.broadcast(terms) if _small(terms) else terms
+    """Broadcast a checkpointed table of terms if it has few enough bytes, as measured."""
+    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    return F.broadcast(terms) if size <= BROADCAST_BYTES else terms
 
 
 def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``(term, n_t)``: in how many documents each of ``terms(term)``, a checkpointed table, occurs."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     x = docs.where("text IS NOT NULL").select(F.explode(words).alias("term"))
-    if _small(terms):
-        return x.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     return x.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
 
 
