@@ -20,27 +20,50 @@ MIB = 1 << 20
 
 
 def test_compaction_policy(spark):
-    rows = [(1, 100 * MIB, 95 * MIB), (2, 100 * MIB, 40 * MIB), (3, 100 * MIB, 70 * MIB), (4, MIB, 0), (5, 0, 0)]
-    x = spark.createDataFrame(rows, "vlog_id long, total_bytes long, live_bytes long").withColumn("dead_bytes", policy.dead_bytes(F.col("total_bytes"), F.col("live_bytes")))
-    assert [r.vlog_id for r in planners.compaction_candidates(x).collect()] == [2, 3]
-    three = spark.createDataFrame([(i, 100 * MIB, 0, 100 * MIB) for i in range(3)], "vlog_id long, total_bytes long, live_bytes long, dead_bytes long")
-    assert [r.vlog_id for r in planners.compaction_candidates(three, planners.CompactionPolicy(max_jobs=2)).collect()] == [0, 1]
-    clamp = spark.createDataFrame([(1000, 250), (100, 140), (0, 0)], "t long, l long").select(policy.dead_bytes(F.col("t"), F.col("l")), policy.waste_ratio(F.col("t"), F.col("l"))).collect()
-    assert [tuple(r) for r in clamp] == [(750, 0.75), (0, 0.0), (0, 0.0)]
-
-
-@pytest.mark.parametrize(("lens", "count", "padded"), [([10, 20], 2, 200), ([100], 1, 200), ([60, 40, 100], 3, 400), ([150], 1, 300), ([50, 50, 30], 2, 300), ([90, 90, 90], 3, 500)])
-def test_promotable_prefix(spark, lens, count, padded):
-    rows = spark.createDataFrame([(1, i, n) for i, n in enumerate(lens)], "g long, pos int, len long")
-    got = ordered.promotable_prefix(rows, ["g"], ["pos"], "len", 100).first()
-    assert (got["count"], got.padded) == (count, padded)
+    """Against a plain loop over random usages, and the waste's own properties."""
+    rng = random.Random(31)
+    usages = [(i, (total := rng.randrange(0, 900)), rng.randrange(0, 1000)) for i in range(120)]
+    x = spark.createDataFrame(usages, "vlog_id long, total_bytes long, live_bytes long")
+    x = x.withColumn("dead_bytes", policy.dead_bytes(F.col("total_bytes"), F.col("live_bytes"))).withColumn("ratio", policy.waste_ratio(F.col("total_bytes"), F.col("live_bytes")))
+    rows = x.collect()
+    for r in rows:
+        assert r.dead_bytes == max(r.total_bytes - r.live_bytes, 0) and 0 <= r.ratio <= 1
+        assert r.ratio == (pytest.approx(r.dead_bytes / r.total_bytes) if r.total_bytes else 0)
+    for rule in (planners.CompactionPolicy(1, 3, 90, 7), planners.CompactionPolicy(1, 2, 1, 0)):
+        worth = [r for r in rows if r.total_bytes and r.dead_bytes >= rule.least_dead and r.dead_bytes / r.total_bytes >= rule.num / rule.den]
+        want = [r.vlog_id for r in sorted(worth, key=lambda r: (-r.dead_bytes, r.vlog_id))]
+        assert [r.vlog_id for r in planners.compaction_candidates(x, rule).collect()] == (want[: rule.max_jobs] if rule.max_jobs else want)
+    held = spark.createDataFrame([(i,) for i in range(0, 120, 2)], "vlog_id long")
+    assert all(r.vlog_id % 2 for r in planners.compaction_candidates(x, planners.CompactionPolicy(1, 9, 1, 0), held).collect())
+
+
+def test_promotable_prefix(spark):
+    """Of every prefix of a random log that fills a row the one with the least padding, the longest of those; none below a row."""
+    rng = random.Random(32)
+    logs_ = {g: [rng.randrange(1, 260) for _ in range(rng.randrange(0, 12))] for g in range(60)}
+    rows = spark.createDataFrame([(g, i, n) for g, lens in logs_.items() for i, n in enumerate(lens)], "g long, pos int, len long")
+    got = {r.g: (r["count"], r.padded, r.pad) for r in ordered.promotable_prefix(rows, ["g"], ["pos"], "len", 700).collect()}
+    want = {}
+    for g, lens in logs_.items():
+        sums = [sum(lens[:k]) + 64 * k for k in range(1, len(lens) + 1)]
+        full = [(-t % 700, -k, t + -t % 700) for k, t in enumerate(sums, 1) if t >= 700]
+        if full:
+            pad, k, padded = min(full)
+            want[g] = (-k, padded, pad)
+    assert got == want and 10 < len(want) < 60
 
 
 def test_thresholds(spark):
-    rows = [("NONE", 1, 0, 1, 1, 1), ("DUPLICATE", 1, 0, 1, 1, 1), ("DUPLICATE", 1, 0, 3, 2, 1), ("EC", 2, 1, 3, 3, 2), ("EC", 4, 2, 6, 6, 4)]
-    x = spark.createDataFrame(rows, "s string, d int, p int, n int, c int, r int")
-    got = x.select(policy.commit_threshold(F.col("s"), F.col("d"), F.col("p"), F.col("n")).alias("a"), policy.read_threshold(F.col("s"), F.col("d")).alias("b"), "c", "r").collect()
-    assert all(r.a == r.c and r.b == r.r for r in got)
+    """What a commit and a read need, by each scheme's definition, over all small shapes; a commit never needs less than a read, nor more than there is."""
+    shapes = [(s, d, p, n) for s in schema.SCHEMES for d in range(1, 6) for p in range(0, 4) for n in range(1, 8) if s != "EC" or n == d + p]
+    x = spark.createDataFrame(shapes, "s string, d int, p int, n int")
+    for r in x.select("*", policy.commit_threshold(F.col("s"), F.col("d"), F.col("p"), F.col("n")).alias("commit"), policy.read_threshold(F.col("s"), F.col("d")).alias("read")).collect():
+        assert r["read"] == (r.d if r.s == "EC" else 1)
+        assert r["read"] <= r.commit <= r.n
+        if r.s == "EC":
+            assert r.commit == r.n
+        else:
+            assert r.commit == (1 if r.s == "NONE" or r.n < 2 else policy.MIN_COPIES)
 
 
 def test_paths(spark):
@@ -58,17 +81,43 @@ def disks_and_nodes(spark, n_nodes=4, per_node=2):
     return disks, nodes
 
 
+def levelled(placed, node_of, band, most):
+    """Greedy levelling by loops: ``placed`` is a list of [log, shard's log, disk, bytes]."""
+    placed, moves = [list(p) for p in placed], []
+    while len(moves) < most:
+        used = {d: sum(p[3] for p in placed if p[2] == d) for d in node_of}
+        source = min(used, key=lambda d: (-used[d], d))
+        best = None
+        for p in placed:
+            if p[2] != source or p[3] <= 0:
+                continue
+            taken = {node_of[q[2]] for q in placed if q[0] == p[0] and q[1] != p[1]}
+            for d in node_of:
+                if d != source and node_of[d] not in taken and used[source] - used[d] > band and p[3] < used[source] - used[d]:
+                    key = (used[d], d, -p[3], p[1])
+                    best = min(best, (key, p, d)) if best else (key, p, d)
+        if best is None:
+            break
+        moves.append((best[1][1], source, best[2]))
+        best[1][2] = best[2]
+    return moves, placed
+
+
 def test_rebalance(spark):
-    disks = spark.createDataFrame([(1, 1, "active"), (2, 2, "active")], "id long, node_id long, state string")
-    nodes = spark.createDataFrame([(1, "working"), (2, "working")], "id long, state string")
-    placed = spark.createDataFrame([(i, 0, i, 1, (8 if i == 1 else 2) * MIB) for i in range(1, 6)], "vlog_id long, shard_idx int, plog_id long, disk_id long, length long")
-    rule = planners.RebalancePolicy(band=2 * MIB)
-    moves = planners.rebalance(placed, disks, nodes, rule).collect()
-    assert [(m.plog_id, m.to_disk) for m in moves] == [(1, 2)]
-    after = placed.withColumn("disk_id", F.when(F.col("plog_id") == 1, 2).otherwise(F.col("disk_id")))
-    assert planners.rebalance(after, disks, nodes, rule).count() == 0
-    assert planners.rebalance(placed, disks, nodes, planners.RebalancePolicy(band=1 << 30)).count() == 0
-    assert planners.rebalance(placed, disks, nodes, rule, last_moved=10, now=11).count() == 0
+    """Against loops over random placements; the spread of the disks never grows, and a cooldown stops all."""
+    rng = random.Random(33)
+    node_of = {d: (d + 1) // 2 for d in range(1, 7)}
+    disks = spark.createDataFrame([(d, n, "active") for d, n in node_of.items()], "id long, node_id long, state string")
+    nodes = spark.createDataFrame([(n, "working") for n in set(node_of.values())], "id long, state string")
+    for band in (40, 400):
+        shards_ = [(v, 10 * v + i, d, rng.randrange(0, 300)) for v in range(1, 9) for i, d in enumerate(rng.sample([1, 2, 3, 5], rng.randrange(1, 3)))]
+        placed = spark.createDataFrame([(v, i, p, d, n) for i, (v, p, d, n) in enumerate(shards_)], "vlog_id long, shard_idx int, plog_id long, disk_id long, length long")
+        got = planners.rebalance(placed, disks, nodes, planners.RebalancePolicy(band=band, max_moves=3)).orderBy("move").collect()
+        want, after = levelled(shards_, node_of, band, 3)
+        assert [(m.plog_id, m.from_disk, m.to_disk) for m in got] == want
+        spread = lambda rows: (lambda u: max(u) - min(u))([sum(r[3] for r in rows if r[2] == d) for d in node_of])
+        assert spread(after) <= spread(shards_)
+    assert planners.rebalance(placed, disks, nodes, planners.RebalancePolicy(band=1), last_moved=10, now=11).count() == 0
 
 
 def test_destinations_avoid_nodes(spark):
@@ -82,25 +131,41 @@ def test_destinations_avoid_nodes(spark):
 
 
 def test_reference_counts(spark):
-    cat = schema.empty_catalog(spark)
-    lists = lambda *hs: [(h, 5) for h in hs]
-
-    def commit(cat, *hashes):
-        batch = spark.createDataFrame([("f", 1, lists(*hashes))], "path string, mtime long, chunks array<struct<hash:string,len:int>>")
-        rows = spark.createDataFrame([(i, h, 7, 100 * i, 5, 5) for i, h in enumerate(hashes)], "pos int, hash string, vlog_id long, vaddr_offset long, logical_len long, compressed_len long")
-        return store.settle_all(transitions.publish_files(cat, batch, rows))
-
-    counts = lambda c: {r.hash: r.refcount for r in c["chunk"].collect()}
-    cat = commit(cat, "A", "B")
-    cat = commit(cat, "A", "C")
-    assert counts(cat) == {"A": 1, "B": 0, "C": 1}
-    cat = commit(cat, "A", "A")
-    assert counts(cat) == {"A": 2, "B": 0, "C": 0}
-    place = {r.hash: r.vaddr_offset for r in cat["chunk"].collect()}
-    cat = commit(cat, "B")  # a dead chunk comes back where it was
-    assert {r.hash: r.vaddr_offset for r in cat["chunk"].collect()} == place
-    cat, gone = transitions.collect_garbage(cat, spark.createDataFrame([("A",)], "hash string"))
-    assert sorted(r.hash for r in gone.collect()) == ["C"]
+    """Random versions of a few files against counting; a chunk keeps the place it first got, also when it died between."""
+    rng = random.Random(34)
+    cat, heads, places = schema.empty_catalog(spark), {}, {}
+    for step in range(4):
+        files = {f"f{i}": rng.choices("PQRSTU", k=rng.randrange(0, 5)) for i in rng.sample(range(3), 2)}
+        batch = spark.createDataFrame([(p, step, [(h, 5) for h in hs]) for p, hs in files.items()], "path string, mtime long, chunks array<struct<hash:string,len:int>>")
+        flat = [(p, i, h) for p, hs in sorted(files.items()) for i, h in enumerate(hs)]
+        rows = spark.createDataFrame([(f"{p}{i}", h, 3, 1000 * step + n, 5, 5) for n, (p, i, h) in enumerate(flat)], "pos string, hash string, vlog_id long, vaddr_offset long, logical_len long, compressed_len long")
+        for n, (_, _, h) in enumerate(flat):
+            places.setdefault(h, 1000 * step + n)
+        cat = store.settle_all(transitions.publish_files(cat, batch, rows), "file", "file_head", "chunk", "dir")
+        heads |= files
+        counts = {h: sum(hs.count(h) for hs in heads.values()) for h in places}
+        got = cat["chunk"].collect()
+        assert {r.hash: r.refcount for r in got} == counts and {r.hash: r.vaddr_offset for r in got} == places
+    dead = sorted(h for h, n in counts.items() if n == 0)
+    pins = spark.createDataFrame([(h,) for h in dead[:1]], "hash string")
+    assert sorted(r.hash for r in transitions.collect_garbage(cat, pins)[1].collect()) == dead[1:]
+
+
+def test_long_chains_are_reached(spark):
+    """Nodes far below a root, in a ring, or above it."""
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (2000, 0)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(301), 1000, 1001, 2000, 5000]], "node long")
+    got = planners.unreachable(nodes, spark.createDataFrame(edges, "parent long, child long"), spark.createDataFrame([(7,), (1000,)], "node long"))
+    assert sorted(r.node for r in got.collect()) == [*range(7), 2000, 5000]
+
+
+def test_appends_within_a_batch(spark):
+    log = spark.createDataFrame([(1, 0, b"ab")], "log_id long, offset long, data binary")
+    same = spark.createDataFrame([(1, 0, b"ab"), (1, 2, b"c"), (1, 2, b"c")], log.schema)
+    assert sorted((r.offset, bytes(r.data)) for r in store.append_once(log, same).collect()) == [(0, b"ab"), (2, b"c")]
+    for other in ([(1, 0, b"xx")], [(1, 5, b"a"), (1, 5, b"b")]):
+        with pytest.raises(Exception, match="other bytes"):
+            store.append_once(log, spark.createDataFrame(other, log.schema)).collect()
 
 
 def test_write_ops_and_leases(spark):
@@ -334,6 +399,7 @@ def test_engine_trace(spark, tmp_path):
     e.truncate("d1/new", 6, 12)
     assert e.read("d1/new") == b"firX__" and e.broken() == {}
     model["d1/new"] = b"firX__"
+    e.add_disk(4, "u4", 2, 1 << 40)
     job = e.request("drain", 13, disk_id=2)
     assert job == e.request("drain", 14, disk_id=2) and e.run_jobs() == {job: "done"} and e.run_jobs() == {}
     e.set_disk_state(1, "failed")
@@ -343,6 +409,79 @@ def test_engine_trace(spark, tmp_path):
     assert store.load(spark, str(tmp_path / "pub"), version)["file_head"].count() == len(model)
 
 
+def engine_with_disks(spark, nodes, **options):
+    e = Engine(spark, (64, 256, 1024), **options)
+    for n in range(1, nodes + 1):
+        e.add_node(n, f"m{n}", f"h{n}")
+        e.add_disk(n, f"u{n}", n, 1 << 40)
+    return e
+
+
+def damaged(e, at):
+    """Changes a byte of the shards for which the condition holds, behind the engine's back."""
+    broken = F.concat(F.lit(b"\xff\x00\xfe"), F.expr("substring(shard, 4)"))
+    e.shards = store.settle(e.shards.withColumn("shard", F.when(at, broken).otherwise(F.col("shard"))))
+
+
+def test_promotion_loss_and_repair(spark):
+    """Staged chunks become coded rows; two shards of each row are lost or damaged, one after the other, and all bytes are read back from rebuilt ones."""
+    rng = np.random.default_rng(5)
+    e = engine_with_disks(spark, 5, column=512)
+    stage = e.make_vlog("EC", 2, 2, staging=True)
+    data = {f"f{i}": rng.bytes(int(rng.integers(1, 2500))) for i in range(4)} | {"empty": b""}
+    e.write(data, 1)
+    done = e.promote()
+    assert set(done) == {stage} and e.cat["vlog"].where("protection_scheme = 'EC'").count() == 1
+    dest = done[stage]
+    length = e.cat["vlog"].where(F.col("id") == dest).first().length
+    assert length > 0 and length % (512 * 2) == 0 and e.broken() == {}
+    moved = e.cat["chunk"].where(F.col("vlog_id") == dest).count()
+    assert moved > 0 and all(e.read(p) == d for p, d in data.items())
+    assert e.read("f1", 5, 40) == data["f1"][5:45]
+    # A damaged shard is not read, and repair makes it again.
+    damaged(e, (F.col("vlog_id") == dest) & (F.col("shard_idx") == 0))
+    assert e.scrub().where(F.col("vlog_id") == dest).first().unhealthy == [0]
+    assert all(e.read(p) == d for p, d in data.items())
+    assert e.repair().get("repair") == 1 and e.scrub().where("corrupt > 0").count() == 0
+    # A lost disk: its shards are made again elsewhere, then two other shards may go.
+    disk = e.placements().where((F.col("vlog_id") == dest) & (F.col("shard_idx") == 1)).first().disk_id
+    e.set_disk_state(disk, "failed")
+    assert all(e.read(p) == d for p, d in data.items())
+    assert e.reprotect() >= 1 and e.cat["plog"].where(F.col("disk_id") == disk).count() == 0
+    damaged(e, (F.col("vlog_id") == dest) & F.col("shard_idx").isin(0, 2))
+    assert all(e.read(p) == d for p, d in data.items())
+    # Beyond what the code can bear nothing is made up.
+    damaged(e, (F.col("vlog_id") == dest) & (F.col("shard_idx") == 3))
+    assert e.repair().get("unrepairable") == 1
+    with pytest.raises(OSError, match="missing or corrupt"):
+        for p in data:
+            e.read(p)
+
+
+def test_logs_roll_over_and_disks_are_replaced(spark):
+    rng = np.random.default_rng(6)
+    e = engine_with_disks(spark, 3, max_log=3000)
+    e.make_vlog()
+    data = {f"f{i}": rng.bytes(2000) for i in range(4)}
+    e.write(data, 1)
+    assert e.cat["vlog"].count() > 1 and e.cat["chunk"].agg(F.max("vaddr_offset")).first()[0] < 3000 and e.broken() == {}
+    assert all(e.read(p) == d for p, d in data.items())
+    e.add_disk(9, "u9", 2, 1 << 40)
+    job = e.request("replace", 3, disk_id=2, dest_disk=9)
+    assert e.request("replace", 4, disk_id=2, dest_disk=3) == job and e.run_jobs() == {job: "done"}
+    assert e.cat["plog"].where("disk_id = 2").count() == 0 and e.cat["disk"].where("id = 2").first().state == "detached"
+    assert all(e.read(p) == d for p, d in data.items())
+    with pytest.raises(OSError, match="no place"):
+        e.drain(1)
+    stray = e.shards.withColumn("plog_id", F.col("plog_id") + 1000)
+    e.shards = store.settle(e.shards.unionByName(stray))
+    n = stray.count()
+    e.set_disk_state(3, "failed")
+    assert e.sweep() == 0
+    e.set_disk_state(3, "active")
+    assert e.sweep() == n and all(e.read(p) == d for p, d in data.items())
+
+
 def test_publication_survives_every_crash_and_interleaving():
     def txn(name, first):
         return commit.start(name, [commit.Write(s, first + s) for s in range(3)])
