@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkcatalog import schema
 from chunkcatalog.functions import ids, layout, paths, policy
-from chunkcatalog.operators import catalog, ordered, planners, transitions
+from chunkcatalog.operators import catalog, ordered, planners, shards, transitions
 from chunkcatalog.plans.fixtures import Tables
 from chunkcatalog.plans.queries import query
 from chunkcatalog.sources import logs
@@ -423,3 +423,51 @@ def events_by_day(t: Tables) -> DataFrame:
     days = write_ops.daily(x).select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "events")
     last = x.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.max("event_id").alias("newest"))
     return days.join(last, "day").select("day", "newest", "events")
+
+
+# ---- bytes in shards
+
+_WIDTH = 8192
+
+
+def _records(t: Tables) -> DataFrame:
+    """Documents as records of 16 logs, one behind the other."""
+    x = t.raw("documents").where("octet_length(text) > 0").select("doc_id", (F.col("doc_id") % 16).alias("vlog_id"), F.col("text").cast("binary").alias("data"))
+    x = ordered.extents(x.withColumn("bytes", F.octet_length("data").cast("long") + schema.HEADER_BYTES), ["vlog_id"], ["doc_id"], "bytes", "vaddr_offset", "__end", spread=True)
+    return x.select("doc_id", "vlog_id", "vaddr_offset", (F.col("bytes") - schema.HEADER_BYTES).alias("len"), "data")
+
+
+def _three_shards(t: Tables) -> DataFrame:
+    x = t.spark.range(16).select(F.col("id").alias("vlog_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("shard_idx"))
+    return x.withColumn("plog_id", F.col("vlog_id") * 10 + F.col("shard_idx"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS bytes, sha256(text) AS digest FROM documents WHERE octet_length(encode(text)) > 0")
+def coded_records_read(t: Tables) -> DataFrame:
+    """Records in coded rows of 2 + 1 shards, read back when one shard of every log is gone."""
+    records = _records(t)
+    good = shards.healthy(shards.coded(records, _three_shards(t), 2, 1, _WIDTH)).where("shard_idx <> vlog_id % 3")
+    back = shards.read_coded(records.drop("data"), good, 2, 1, _WIDTH, "doc_id")
+    return back.select("doc_id", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("digest"))
+
+
+@query(
+    f"SELECT vlog_id, CAST((sum(n) + {_WIDTH - 1}) // {_WIDTH} AS BIGINT) AS rows, CAST((sum(n) + {_WIDTH - 1}) // {_WIDTH} AS BIGINT) AS equal FROM (SELECT doc_id % 16 AS vlog_id, octet_length(encode(text)) + 64 AS n FROM documents WHERE octet_length(encode(text)) > 0) GROUP BY 1"
+)
+def shards_rebuilt(t: Tables) -> DataFrame:
+    """One shard of every log made again from the others, and how many of its rows equal the lost ones."""
+    every = shards.coded(_records(t), _three_shards(t), 2, 1, _WIDTH)
+    lost = _three_shards(t).where("shard_idx = (vlog_id + 1) % 3")
+    again = shards.rebuilt(lost, every, 2, 1).select("plog_id", "row", F.col("digest").alias("new"))
+    both = every.join(lost.select("plog_id"), "plog_id", "left_semi").join(again, ["plog_id", "row"], "left")
+    return both.groupBy("vlog_id").agg(F.count("*").alias("rows"), F.count_if(F.col("new") == F.col("digest")).alias("equal"))
+
+
+@query("SELECT doc_id % 16 * 10 + shard_idx AS plog_id, count(*) AS rows, count(*) FILTER (WHERE doc_id % 7 = 0 AND shard_idx = 1) AS corrupt FROM documents, (VALUES (0), (1), (2)) s(shard_idx) WHERE octet_length(encode(text)) > 0 GROUP BY 1")
+def shards_scrubbed(t: Tables) -> DataFrame:
+    """Copies of records, some of them damaged in the second copy."""
+    records = _records(t)
+    copies = shards.mirrored(records, _three_shards(t))
+    bad = records.where("doc_id % 7 = 0").select("vlog_id", F.col("vaddr_offset").alias("row"), F.lit(1).alias("shard_idx"), F.lit(True).alias("bad"))
+    broken = copies.join(bad, ["vlog_id", "row", "shard_idx"], "left").withColumn("shard", F.when(F.col("bad"), F.concat("shard", F.lit(b"?"))).otherwise(F.col("shard")))
+    return shards.scrub(broken)
