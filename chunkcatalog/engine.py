@@ -120,6 +120,23 @@ class Engine:
         self.shards = kept
         return gone
 
+    def append_log(self, vlog_id: int, data: bytes) -> int:
+        """Appends one raw record to a log of copies; gives its offset. No file refers to it."""
+        log = self.cat["vlog"].where((F.col("id") == vlog_id) & (F.col("protection_scheme") != "EC")).first()
+        if log is None or log.length + schema.HEADER_BYTES + len(data) > self.max_log:
+            raise OSError(f"log {vlog_id} takes no record of {len(data)} bytes")
+        self._store(self.spark.createDataFrame([(vlog_id, log.length, data)], "vlog_id bigint, vaddr_offset bigint, data binary"))
+        end = self.spark.createDataFrame([(vlog_id, log.length + schema.HEADER_BYTES + len(data))], "id bigint, length bigint")
+        self._become({**self.cat, "vlog": transitions.update(self.cat["vlog"], end, "id", "length", strict=True)}, "vlog")
+        return log.length
+
+    def read_log(self, vlog_id: int, offset: int, size: int) -> bytes:
+        """The payload of ``size`` bytes of the record at an offset of any log, from what shards are left."""
+        found = self._data(self.spark.createDataFrame([("", vlog_id, offset, size)], "hash string, vlog_id bigint, vaddr_offset bigint, len bigint")).first()
+        if found is None or found.data is None:
+            raise OSError(f"log {vlog_id} cannot be read at {offset}")
+        return bytes(found.data)
+
     # ---- files
 
     def write(self, files: dict[str, bytes] | DataFrame, mtime: int, vlog_id: int | None = None) -> None:
@@ -390,6 +407,21 @@ class Engine:
         self._become({**self.cat, "job": jobs}, "job")
         return job
 
+    def remove_disk(self, disk_id: int, at: int) -> int:
+        return self.request("drain", at, disk_id=disk_id)
+
+    def replace_disk(self, disk_id: int, dest_disk: int, at: int) -> int:
+        return self.request("replace", at, disk_id=disk_id, dest_disk=dest_disk)
+
+    def migrate(self, plog_id: int, dest_disk: int) -> None:
+        """Moves one shard to a live disk whose node holds no other shard of its log."""
+        mine = self.placements().where(F.col("plog_id") == plog_id).first()
+        if mine is None:
+            raise KeyError(plog_id)
+        plan = store.settle(planners.replace(mine.disk_id, dest_disk, self.placements(), self.cat["disk"], self.cat["node"]).where((F.col("plog_id") == plog_id) & F.col("allowed")))
+        if not self.move_shards(plan):
+            raise OSError(f"disk {dest_disk} cannot take shard {plog_id}")
+
     def run_jobs(self) -> dict[int, str]:
         """Runs (or, after a restart, resumes) all running jobs by kind, oldest first; unknown kinds are cancelled."""
         kinds = {"drain": lambda j: self.drain(j.target_disk), "reprotect": lambda j: self.reprotect(), "rebalance": lambda j: self.rebalance(), "compact": lambda j: self.compact(), "replace": lambda j: self.replace(j.target_disk, j.dest_disk), "promote": lambda j: self.promote(), "repair": lambda j: self.repair()}

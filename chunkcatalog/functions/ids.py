@@ -19,6 +19,11 @@ def sector_hash(data: Column) -> Column:
     return F.left(F.sha2(data, 256), F.lit(32))
 
 
+def random_uid() -> Column:
+    """120 random bits, another for each row and each time."""
+    return F.left(F.replace(F.concat(F.uuid(), F.uuid()), F.lit("-"), F.lit("")), F.lit(30))
+
+
 def _reversed_bytes(hex_text: Column, n: int) -> Column:
     return F.concat(*(F.substring(hex_text, 2 * i + 1, 2) for i in reversed(range(n))))
 

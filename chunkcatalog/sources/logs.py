@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkcatalog.functions import policy
+from chunkcatalog.functions import paths, policy
 
 
 def read_logs(spark: SparkSession, folder: str, pattern: str = "plog-*") -> DataFrame:
@@ -15,12 +15,15 @@ def read_logs(spark: SparkSession, folder: str, pattern: str = "plog-*") -> Data
 
 
 def list_logs(spark: SparkSession, roots: DataFrame) -> DataFrame:
-    """``(disk_id, plog_id)`` of the files under ``roots(disk_id, root)``: one folder for each disk; contents are not read."""
-    found = None
-    for row in roots.collect():  # one row for each disk
-        x = read_logs(spark, row.root).select(F.lit(row.disk_id).cast("long").alias("disk_id"), "plog_id")
-        found = x if found is None else found.unionByName(x)
-    return found if found is not None else spark.createDataFrame([], "disk_id bigint, plog_id bigint")
+    """``(disk_id, plog_id)`` of the files under ``roots(disk_id, root)``, a folder for each disk: one listing of all of them; contents are not read."""
+    folders = [r.root for r in roots.select("root").distinct().collect()]  # one name for each disk
+    if not folders:
+        return spark.createDataFrame([], "disk_id bigint, plog_id bigint")
+    bare = lambda path: F.regexp_replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/"), "/+$", "")
+    x = spark.read.format("binaryFile").option("pathGlobFilter", "plog-*").option("recursiveFileLookup", "true").load(folders)
+    x = x.select(policy.plog_id_of(F.col("path")).alias("plog_id"), F.explode(paths.ancestors(bare(F.col("path")))).alias("above")).where("plog_id IS NOT NULL")
+    known = roots.select(F.col("disk_id").cast("long").alias("disk_id"), paths.clean(bare(F.col("root"))).alias("above"))
+    return x.join(known, "above").select("disk_id", "plog_id")
 
 
 def sectors(logs: DataFrame, size: int = 4096) -> DataFrame:

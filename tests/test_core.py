@@ -159,6 +159,13 @@ def test_long_chains_are_reached(spark):
     assert sorted(r.node for r in got.collect()) == [*range(7), 2000, 5000]
 
 
+def test_random_uids(spark):
+    got = [r.u for r in spark.range(200).select(ids.random_uid().alias("u")).collect()]
+    assert len(set(got)) == 200 and all(len(u) == 30 and int(u, 16) >= 0 for u in got)
+    back = spark.createDataFrame([(u,) for u in got], "u string").select("u", ids.parse_uid(ids.uid_text(F.col("u"))).alias("b")).collect()
+    assert all(r.u == r.b for r in back)
+
+
 def test_appends_within_a_batch(spark):
     log = spark.createDataFrame([(1, 0, b"ab")], "log_id long, offset long, data binary")
     same = spark.createDataFrame([(1, 0, b"ab"), (1, 2, b"c"), (1, 2, b"c")], log.schema)
@@ -471,8 +478,17 @@ def test_logs_roll_over_and_disks_are_replaced(spark):
     assert e.request("replace", 4, disk_id=2, dest_disk=3) == job and e.run_jobs() == {job: "done"}
     assert e.cat["plog"].where("disk_id = 2").count() == 0 and e.cat["disk"].where("id = 2").first().state == "detached"
     assert all(e.read(p) == d for p, d in data.items())
+    raw = e.make_vlog()
+    at = [e.append_log(raw, b"raw bytes"), e.append_log(raw, b"more")]
+    assert (e.read_log(raw, at[0], 9), e.read_log(raw, at[1], 4)) == (b"raw bytes", b"more")
+    with pytest.raises(OSError, match="takes no record"):
+        e.append_log(1, b"x" * 3000)
+    with pytest.raises(OSError, match="cannot take"):
+        e.migrate(e.placements().where("disk_id = 9").first().plog_id, 3)
+    job = e.remove_disk(1, 5)
     with pytest.raises(OSError, match="no place"):
-        e.drain(1)
+        e.run_jobs()
+    assert e.remove_disk(1, 6) == job  # it still runs, and is taken up again
     stray = e.shards.withColumn("plog_id", F.col("plog_id") + 1000)
     e.shards = store.settle(e.shards.unionByName(stray))
     n = stray.count()
