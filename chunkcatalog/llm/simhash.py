@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkcatalog.llm.common import connected_components, cut
+from chunkcatalog.llm.common import connected_components, cut, tidy
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -186,12 +186,26 @@ def keep_one(docs: DataFrame) -> DataFrame:
 # few hundredths of all pairs, so within the radius SimHash finds the bulk of the copies, and what lies beyond it is found by
 # the prefix filter, which leaves out no pair: ordered by frequency, two sets at the threshold share a shingle among their first
 # n - ceil(least * n) + 1, at places whose rest still reaches the needed overlap. All pairs are verified on the whole sets.
+#
+# A list of many sets that similarity does not join (near copies with many changes each, a common line) would give the square
+# of its length in pairs. Its sets are written as differences D from one of them, c, for which |x ^ y| = |Dx ^ Dy|; so what all
+# share is gone, and a second prefix filter, over the differences, leaves out no pair either. K is what is linked to c or was in
+# its component. With g = (1 - least) / (1 + least), a linked pair has |x ^ y| <= g(|x| + |y|), and a set y outside K has
+# |Dy| > g(|y| + |c|). So a pair with y outside K shares at least (|Dx| + g(|c| - |x|)) / 2 of its differences, and at least
+# |Dx| - |x| (1 - least) / least; if x is outside K and y is inside, only the latter holds of x, and at least one.
 _COUNTERS = 1 << 20
 _DIRECT = 8  # Longer lists are first linked to a few members, and then only across the components so found.
 _STARS = 8
+_WHOLE = 64  # Longer lists with several components are compared by differences.
+_SKETCH_BITS = 1 << 11
+_NEAR = 1e-6
 _PAIRS = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _POSTED = pa.schema([_PAIRS.field(k) for k in (0, 1, 3, 4)])
 _PAIRS_DDL = "key long, sid long, other long, n int, pos int"
+_CHANGES = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("d", pa.int32()), ("pos", pa.int32()), ("kind", pa.int8()), ("sketch", pa.binary())])
+_CHANGES_DDL = "key long, sid long, root long, n int, d int, pos int, kind byte, sketch binary"
+_LINKED, _INSIDE, _OUTSIDE, _BEYOND = range(4)  # kinds of rows: a link to c; in a prefix, of a set in K or not; past its prefix
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -307,7 +321,7 @@ def _first_pass(least: float):
                 wanted = [(i, np.arange(i + 1, m)) for i in range(m - 1)]
             else:
                 yield key, sid, sid, n, pos
-                mixed = (sid ^ key).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                mixed = _mixed(sid ^ key)
                 centre = int(np.argmin(mixed))
                 linked = mixed % np.maximum(1, (n * (1 - least) / _STARS)).astype(np.uint64) == 0
                 linked[centre] = False
@@ -320,14 +334,24 @@ def _first_pass(least: float):
     return lambda batches: _batched(parts(batches), _PAIRS)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+
+
 def _second_pass(least: float):
-    """Pairs of rows of one long list that are in different components (column other)."""
+    """Pairs of rows of one long list that are in different components (column other). A list of more than ``_WHOLE`` rows gives
+    a row for each set instead: key is the set to compare it with, pos is 1 if both are in one component."""
 
     def parts(batches):
         for key, sid, root, n, pos in _runs(batches):
             roots, place, sizes = np.unique(root, return_inverse=True, return_counts=True)
             if len(roots) < 2:
                 continue
+            if len(sid) > _WHOLE:
+                largest = np.flatnonzero(sizes[place] == sizes.max())
+                centre = largest[np.argmin(_mixed(sid[largest]))]
+                yield np.full(len(sid), sid[centre]), sid, root, n, (root == root[centre]).astype(np.int32)
+                continue
             rank = np.empty(len(roots), dtype=np.int64)
             rank[np.argsort(sizes, kind="stable")] = np.arange(len(roots))
             rank = rank[place]
@@ -341,6 +365,84 @@ def _second_pass(least: float):
     return lambda batches: _batched(parts(batches), _PAIRS)
 
 
+def _sketch(delta: np.ndarray) -> bytes:
+    """Parities of the differences by bucket, all bits or the odd buckets: |Dx ^ Dy| is at least the number of bits that differ."""
+    odd = np.bincount(_mixed(delta).astype(np.int64) % _SKETCH_BITS, minlength=_SKETCH_BITS) & 1
+    places = np.flatnonzero(odd).astype(np.uint16)
+    return places.tobytes() if 16 * len(places) < _SKETCH_BITS else np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _bits(sketches: np.ndarray) -> np.ndarray:
+    bits = np.zeros((len(sketches), _SKETCH_BITS // 8), dtype=np.uint8)
+    for row, sketch in zip(bits, sketches, strict=True):
+        if len(sketch) == len(row):
+            row[:] = np.frombuffer(sketch, dtype=np.uint8)
+        else:
+            places = np.frombuffer(sketch, dtype=np.uint16)
+            np.bitwise_or.at(row, places >> 3, (1 << (places & 7)).astype(np.uint8))
+    return bits.view(np.uint64)
+
+
+def _changes(least: float, order):
+    """For rows ``(sid, root, centre, same, n, nc, added, removed)``, set x against set c: x under its differences, those that
+    few others have first (added shingles, the rarest first, then removed ones, the most frequent first); and its link to c."""
+    g, most = (1 - least) / (1 + least), (1 - least) / least
+
+    def parts(batches):
+        counts = order.value
+        for batch in batches:
+            for r in range(batch.num_rows):
+                sid, root, centre, same, n, nc = (batch.column(k)[r].as_py() for k in range(6))
+                added, removed = (batch.column(k)[r].values.to_numpy() for k in (6, 7))
+                delta = np.concatenate([added, removed])
+                if not (d := len(delta)):
+                    continue
+                shared = (n + nc - d) // 2
+                near = shared >= least * (n + nc - shared) - 1e-9
+                if near and not same:
+                    yield np.array([centre]), np.array([sid]), np.array([root]), *(np.array([v]) for v in (n, d, -1, _LINKED)), np.array([None], dtype=object)
+                often = counts[(delta.view(np.uint64) % _COUNTERS).astype(np.int64)]
+                often[len(added) :] *= -1
+                delta = delta[np.lexsort((delta, often, np.arange(d) >= len(added)))]
+                least_shared = max(1, np.ceil(d - most * n - _NEAR))
+                prefix = int(d - max(least_shared, np.ceil((d + g * (nc - n)) / 2 - _NEAR))) + 1
+                k = prefix if near or same else int(d - least_shared) + 1
+                kind = np.full(k, _INSIDE if near or same else _OUTSIDE, dtype=np.int8)
+                kind[prefix:] = _BEYOND
+                key = (delta[:k].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(centre & (1 << 64) - 1)).view(np.int64)
+                yield key, np.full(k, sid), np.full(k, root), np.full(k, n), np.full(k, d), np.arange(k), kind, np.array([_sketch(delta)] * k, dtype=object)
+
+    return lambda batches: _batched(parts(batches), _CHANGES)
+
+
+def _changed_pairs(least: float, nearest: bool):
+    """Pairs that share a difference, are in different components and may reach the threshold; ``nearest``: one for each set outside K."""
+    g = (1 - least) / (1 + least)
+
+    def parts(batches):
+        for _, sid, root, n, d, pos, kind, sketch in _runs(batches):
+            outside = np.flatnonzero(kind != _INSIDE)
+            if len(sid) < 2 or not len(outside):
+                continue
+            inside, early = np.flatnonzero(kind == _INSIDE), np.flatnonzero(kind == _OUTSIDE)
+            bits = _bits(sketch)
+            for i in outside:
+                others = np.concatenate([inside, early[early > i]]) if kind[i] == _OUTSIDE else inside
+                others = others[root[others] != root[i]]
+                differ = g * (n[i] + n[others]) + _NEAR
+                rest = np.minimum(d[i] - pos[i], d[others] - pos[others])
+                fits = (2 * rest >= d[i] + d[others] - differ) & (np.abs(n[i] - n[others]) <= differ)
+                others, differ = others[fits], differ[fits]
+                apart = np.bitwise_count(bits[i] ^ bits[others]).sum(axis=1)
+                near = others[apart <= differ]
+                if len(near):
+                    if nearest:
+                        near = others[np.argmin(apart - differ), None]
+                    yield np.minimum(sid[i], sid[near]), np.maximum(sid[i], sid[near])
+
+    return lambda batches: _batched(parts(batches), _EDGES)
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches):
@@ -356,16 +458,28 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _shingles_of(sids: DataFrame, rows: DataFrame, reps: DataFrame, shingle_words: int) -> DataFrame:
+    """``(sid, grams)`` of the sets named by ``sids(sid)``. ``reps(sid, row)`` has a row for each set."""
+    asked = cut(sids.distinct().join(reps, "sid"))
+    return cut(rows.join(_bounded(asked), "row").select("sid", "text").mapInArrow(_sets(shingle_words), "sid long, grams array<bigint>").dropDuplicates(["sid"]))
+
+
 def _verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle_words: int, least: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets have a Jaccard similarity of at least ``least``. ``reps(sid, row)`` has a row for each set."""
+    """Those of ``pairs(a, b)`` whose sets have a Jaccard similarity of at least ``least``."""
     pairs = cut(pairs.distinct())
-    asked = cut(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps, "sid"))
-    sets = cut(rows.join(_bounded(asked), "row").select("sid", "text").mapInArrow(_sets(shingle_words), "sid long, grams array<bigint>").dropDuplicates(["sid"]))
+    sets = _shingles_of(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), rows, reps, shingle_words)
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return cut(both.where(shared >= least * (F.size("ga") + F.size("gb") - shared) - 1e-9).select("a", "b"))
 
 
+def _shared_changes(changes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``changes`` by key, each with its present component."""
+    found = changes.where(F.col("kind") != _LINKED).drop("root").join(roots, F.col("sid") == roots.node, "left")
+    columns = [F.coalesce("root", "sid").alias("root") if c == "root" else F.col(c) for c in _CHANGES.names]
+    return found.select(columns).repartition("key").sortWithinPartitions("key")
+
+
 def keep_one_similar(docs: DataFrame, shingle_words: int, least: float) -> DataFrame:
     """As ``keep_one``, for the groups that pairs with a Jaccard similarity of at least ``least`` on their shingles form."""
     sc = docs.sparkSession.sparkContext
@@ -391,6 +505,18 @@ def keep_one_similar(docs: DataFrame, shingle_words: int, least: float) -> DataF
     again = long_lists.join(roots, long_lists.sid == roots.node, "left").select("key", "sid", F.coalesce("root", "sid").alias("other"), "n", "pos")
     rest = cut(again.repartition("key").sortWithinPartitions("key").mapInArrow(_second_pass(least), _PAIRS_DDL))
     if not rest.isEmpty():
-        more = _verified(rows, reps, rest.select(F.col("sid").alias("a"), F.col("other").alias("b")), shingle_words, least)
-        roots = cut(connected_components(edges.union(more)))
+        pairs = rest.where("pos < 0").select(F.col("sid").alias("a"), F.col("other").alias("b"))
+        stars = cut(rest.where("pos >= 0").select("sid", F.col("other").alias("root"), F.col("key").alias("centre"), "pos").distinct())
+        if not stars.isEmpty():
+            tidy(docs.sparkSession)
+            sets = _shingles_of(stars.select("sid"), rows, reps, shingle_words)
+            both = stars.join(sets.select("sid", F.col("grams").alias("x")), "sid").join(sets.select(F.col("sid").alias("centre"), F.col("grams").alias("c")), "centre")
+            changes = cut(both.select("sid", "root", "centre", "pos", F.size("x"), F.size("c"), F.array_except("x", "c"), F.array_except("c", "x")).mapInArrow(_changes(least, order), _CHANGES_DDL))
+            # The nearest pairs join what is linked, so that the rest are few.
+            near = _shared_changes(changes, roots).mapInArrow(_changed_pairs(least, nearest=True), "a long, b long")
+            more = _verified(rows, reps, pairs.union(near), shingle_words, least).union(changes.where(F.col("kind") == _LINKED).select("key", "sid"))
+            roots = cut(connected_components(more.union(roots)))
+            pairs = _shared_changes(changes, roots).mapInArrow(_changed_pairs(least, nearest=False), "a long, b long")
+            tidy(docs.sparkSession)
+        roots = cut(connected_components(_verified(rows, reps, pairs, shingle_words, least).union(roots)))
     return _first_rows(docs, marked.join(roots, marked.sid == roots.node, "left").select("row", "doc_id", F.coalesce("root", "sid").alias("root")))

@@ -405,6 +405,50 @@ def test_keep_one_similar(spark):
     assert sorted(10**9 if r.doc_id is None else r.doc_id for r in got.collect()) == sorted(want.values())
 
 
+def test_near_copies_that_are_not_similar_make_no_square_of_pairs(spark, monkeypatch):
+    """Many changed copies of one text, most below the threshold: groups as by brute force, candidates in proportion to rows."""
+    made = []
+
+    def counted(rows, reps, pairs, *args):
+        made.append(pairs.count())
+        return verified(rows, reps, pairs, *args)
+
+    verified = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", counted)
+    rng = random.Random(17)
+    vocabulary = " ".join(some_texts(6, 91, 200, 200)).split()
+    line = " ".join(vocabulary[:9])
+    base = rng.choices(vocabulary, k=120)
+    texts = []
+    for _ in range(500):
+        words = list(base)
+        for _ in range(rng.randint(0, 7)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        if rng.random() < 0.1:
+            cut = rng.randrange(60)
+            del words[cut : cut + rng.randint(5, 30)]
+        texts.append(" ".join(words))
+    for t in texts[300:340]:  # copies of what may be beyond the threshold of all others
+        words = t.split()
+        words[rng.randrange(len(words))] = "other"
+        texts.append(" ".join(words))
+    texts += [f"{line} {' '.join(rng.choices(vocabulary, k=14))}" for _ in range(200)]
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    want = sorted(set(root))
+    got = simhash.keep_one_similar(docs(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)]), shingle_words=5, least=0.8)
+    assert sorted(r.doc_id for r in got.collect()) == want and 250 < len(want) < len(texts) - 100
+    assert sum(made) < 20 * len(texts)
+
+
 def test_forest_spans_without_all_pairs():
     near = np.array([1 << i for i in range(40)] + [0], dtype=np.int64)
     assert len(simhash._forest(near, 3)) == 40
