@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from chunkcatalog.operators import catalog, ordered
 from chunkcatalog.plans.store import settle
 from chunkcatalog.schema import HEADER_BYTES
 
+BROADCAST_ROWS = 400_000
+
 
 @dataclass(frozen=True)
 class CompactionPolicy:
@@ -165,11 +168,13 @@ def shards_wanted(scheme: str, data: int, parity: int, staging: bool = False) ->
 # ---- rebalance
 
 
-def rebalance(placed: DataFrame, disks: DataFrame, nodes: DataFrame, rule: RebalancePolicy = RebalancePolicy(), last_moved: int | None = None, now: int = 0) -> DataFrame:
+def rebalance(placed: DataFrame, disks: DataFrame, nodes: DataFrame, rule: RebalancePolicy = RebalancePolicy(), last_moved: int | None = None, now: int = 0, of_logs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Greedy levelling: ``(move, plog_id, from_disk, to_disk, bytes)``, at most ``max_moves``.
 
     One move a round: from the fullest to the lightest disk, the largest shard that is smaller than their gap and whose log has
-    no other shard on the destination's node. Each round is one query over the placements as the moves so far leave them, so the driver only holds the moves.
+    no other shard on the destination's node. The disks' loads are summed once. Of the placements a round only takes the logs with a shard on its
+    source, before anything is shuffled; the driver only holds the moves. ``of_logs`` gives the placements of ``logs(vlog_id)`` where they are made by
+    a shuffle themselves (a window by log, say), which a join with ``placed`` would repeat over all of them.
     """
     spark = placed.sparkSession
     schema = "move int, plog_id bigint, from_disk bigint, to_disk bigint, bytes bigint"
@@ -177,13 +182,15 @@ def rebalance(placed: DataFrame, disks: DataFrame, nodes: DataFrame, rule: Rebal
         return spark.createDataFrame([], schema)
     states = catalog.disk_states(disks, nodes)
     live = states.where(policy.disk_live(F.col("disk_state"), F.col("node_state")))
+    placed = placed.select("vlog_id", "plog_id", "length", "disk_id")
+    loads = settle(live.join(placed.groupBy("disk_id").agg(F.sum("length").alias("b")), "disk_id", "left").select("disk_id", "node_id", F.coalesce("b", F.lit(0).cast("long")).alias("bytes")))
     moves: list[tuple] = []
+    arrived: list[tuple] = []  # a log and the disk that a shard of it was moved to, for each move
     while len(moves) < rule.max_moves:
-        now_at = placed.select("vlog_id", "plog_id", "length", "disk_id")
+        used = loads
         if moves:
-            done = spark.createDataFrame([(m[1], m[3]) for m in moves], "plog_id bigint, moved_to bigint")
-            now_at = now_at.join(done, "plog_id", "left").withColumn("disk_id", F.coalesce("moved_to", "disk_id")).drop("moved_to")
-        used = live.join(now_at.groupBy("disk_id").agg(F.sum("length").alias("b")), "disk_id", "left").select("disk_id", "node_id", F.coalesce("b", F.lit(0).cast("long")).alias("bytes"))
+            shifts = spark.createDataFrame([(m[2], -m[4]) for m in moves] + [(m[3], m[4]) for m in moves], "disk_id bigint, shift bigint").groupBy("disk_id").agg(F.sum("shift").alias("shift"))
+            used = used.join(shifts, "disk_id", "left").select("disk_id", "node_id", (F.col("bytes") + F.coalesce("shift", F.lit(0).cast("long"))).alias("bytes"))
         top = used.agg(F.max_by("disk_id", F.struct("bytes", (-F.col("disk_id")).alias("i"))), F.max("bytes")).first()
         if top[0] is None:
             break
@@ -193,16 +200,26 @@ def rebalance(placed: DataFrame, disks: DataFrame, nodes: DataFrame, rule: Rebal
         far = used.where((F.col("disk_id") != source) & (F.lit(most) - F.col("bytes") > rule.band))
         light = far.groupBy("node_id").agg(F.min(F.struct("bytes", "disk_id")).alias("d")).select("node_id", F.col("d.bytes").alias("to_bytes"), F.col("d.disk_id").alias("to_disk"))
         light = light.withColumn("rank", F.row_number().over(W.orderBy("to_bytes", "to_disk")))  # one row for each node
-        mine = now_at.where((F.col("disk_id") == source) & (F.col("length") > 0)).select("vlog_id", "plog_id", "length")
-        held = now_at.join(states.select("disk_id", "node_id"), "disk_id").select("vlog_id", F.col("plog_id").alias("h_plog"), F.col("node_id").alias("h_node"))
-        taken = mine.join(held, "vlog_id").where("h_plog <> plog_id").groupBy("plog_id").agg(F.collect_set("h_node").alias("taken"))
-        x = mine.join(taken, "plog_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>")))
+        logs = placed.where(F.col("disk_id") == source).select("vlog_id")
+        if any(disk == source for _, disk in arrived):
+            logs = logs.union(spark.createDataFrame([(v,) for v, disk in arrived if disk == source], "vlog_id bigint"))
+        logs = settle(logs.distinct())
+        logs = F.broadcast(logs) if logs.count() <= BROADCAST_ROWS else logs
+        near = of_logs(logs).select(placed.columns) if of_logs else placed.join(logs, "vlog_id", "left_semi")
+        if moves:
+            done = spark.createDataFrame(list({m[1]: m[3] for m in moves}.items()), "plog_id bigint, moved_to bigint")  # a shard may move again
+            near = near.join(done, "plog_id", "left").withColumn("disk_id", F.coalesce("moved_to", "disk_id")).drop("moved_to")
+        held = near.join(states.select("disk_id", "node_id"), "disk_id").groupBy("vlog_id").agg(F.collect_list(F.struct("plog_id", "length", "disk_id", "node_id")).alias("held"))  # as long as a log has shards
+        mine = held.select("vlog_id", "held", F.explode("held").alias("s")).where((F.col("s.disk_id") == source) & (F.col("s.length") > 0))
+        taken = F.array_distinct(F.transform(F.filter("held", lambda h: (h["plog_id"] != F.col("s.plog_id")) & h["node_id"].isNotNull()), lambda h: h["node_id"]))
+        x = mine.select("vlog_id", F.col("s.plog_id").alias("plog_id"), F.col("s.length").alias("length"), taken.alias("taken"))
         x = x.withColumn("rank", F.explode(F.sequence(F.lit(1), F.size("taken") + 1))).join(light, "rank").where(~F.array_contains("taken", F.col("node_id")))
-        x = x.groupBy("plog_id", "length").agg(F.min(F.struct("to_bytes", "to_disk")).alias("to")).where(F.col("length") < F.lit(most) - F.col("to.to_bytes"))
+        x = x.groupBy("vlog_id", "plog_id", "length").agg(F.min(F.struct("to_bytes", "to_disk")).alias("to")).where(F.col("length") < F.lit(most) - F.col("to.to_bytes"))
         found = x.orderBy("to.to_bytes", "to.to_disk", F.desc("length"), "plog_id").first()
         if found is None:
             break
         moves.append((len(moves) + 1, found.plog_id, source, found.to.to_disk, found.length))
+        arrived.append((found.vlog_id, found.to.to_disk))
     return spark.createDataFrame(moves, schema)
 
 

@@ -29,8 +29,15 @@ class Tables:
 
     @property
     def placed(self) -> DataFrame:
+        return self._placed(self.raw("lineitem"))
+
+    def placed_of(self, logs: DataFrame) -> DataFrame:
+        """``placed`` of ``logs(vlog_id)``: the others go before shards are numbered."""
+        return self._placed(self.raw("lineitem").join(logs.select(F.col("vlog_id").alias("l_orderkey")), "l_orderkey", "left_semi"))
+
+    def _placed(self, items: DataFrame) -> DataFrame:
         order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-        x = self.raw("lineitem").withColumn("shard_idx", F.row_number().over(order) - 1)
+        x = items.withColumn("shard_idx", F.row_number().over(order) - 1)
         return x.select(F.col("l_orderkey").alias("vlog_id"), "shard_idx", (F.col("l_orderkey") * 1000 + F.col("shard_idx")).alias("plog_id"), F.col("l_suppkey").alias("disk_id"), (F.col("l_quantity").cast("long") * 1000).alias("length"))
 
     @property

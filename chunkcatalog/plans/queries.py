@@ -189,7 +189,7 @@ def repair_destinations(t: Tables) -> DataFrame:
 
 @query()
 def rebalance_plan(t: Tables) -> DataFrame:
-    return planners.rebalance(settle(t.placed), t.disk, t.node, planners.RebalancePolicy(band=1000, max_moves=4))
+    return planners.rebalance(t.placed, t.disk, t.node, planners.RebalancePolicy(band=1000, max_moves=4), of_logs=t.placed_of)
 
 
 @query("SELECT plog_id, least(p.length, CASE WHEN protection_scheme = 'EC' THEN v.length // data_shards ELSE v.length END) AS length FROM placed p JOIN vlog v ON p.vlog_id = v.id", "placed vlog")

@@ -120,6 +120,72 @@ def test_rebalance(spark):
     assert planners.rebalance(placed, disks, nodes, planners.RebalancePolicy(band=1), last_moved=10, now=11).count() == 0
 
 
+def shuffled_records(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rebalance_leaves_other_logs_in_place(spark):
+    """A round shuffles the logs with a shard on its source and sums of the disks, not the placements."""
+    disks, nodes = disks_and_nodes(spark, 50, 2)
+    n = F.col("id")
+    placed = spark.range(30_000).select((n / 3).cast("long").alias("vlog_id"), (n % 3).alias("shard_idx"), n.alias("plog_id"), (n * 37 % 100 + 2).alias("disk_id"), F.lit(100).cast("long").alias("length"))
+    placed = placed.union(spark.createDataFrame([(-1, 0, -1, 2, 5000)], placed.schema))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_records(spark)
+        got = planners.rebalance(placed, disks, nodes, planners.RebalancePolicy(band=1, max_moves=3)).orderBy("move").collect()
+        assert [(m.from_disk, m.to_disk) for m in got] == [(2, 3), (2, 4), (2, 5)] and got[0].bytes == 100
+        assert shuffled_records(spark) - before < 15_000
+        before, asked = shuffled_records(spark), []
+        of_logs = lambda logs: asked.append(1) or placed.join(logs, "vlog_id", "left_semi")
+        assert planners.rebalance(placed, disks, nodes, planners.RebalancePolicy(band=1, max_moves=3), of_logs=of_logs).orderBy("move").collect() == got and len(asked) == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+class Captured:
+    """A frame that hands the function given to mapInArrow back."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+@pytest.mark.parametrize("kernel", ["encode_rows", "crypt", "encode_logs"])
+def test_kernels_take_pieces_of_batches(spark, kernel):
+    """Of a batch of Spark's size only a few MB at a time are Python objects and results, whatever its rows hold; a long row goes by itself."""
+    import pyarrow as pa
+
+    data = [bytes([i % 251]) * (8192 if i % 500 else 3 << 20) if i % 7 else None if kernel != "encode_rows" else b"" for i in range(2000)]
+    ids_ = pa.array(range(2000), pa.int64())
+    columns = {"encode_rows": [ids_, ids_], "crypt": [ids_, pa.array([str(i) for i in range(2000)]), pa.array([0] * 2000, pa.int64())], "encode_logs": [ids_]}[kernel]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], [f"c{i}" for i in range(len(columns) + 1)])
+    run = {"encode_rows": lambda: byte_ops.encode_rows(Captured(), 2, 1), "crypt": lambda: byte_ops.crypt(Captured(), b"k" * 16, b"l"), "encode_logs": lambda: byte_ops.encode_logs(Captured(), b"k")}[kernel]()
+    out = list(run(iter([batch, batch.slice(0, 0)])))
+    assert max(b.nbytes for b in out) < 8 << 20
+    one_by_one = [b for i in range(0, 2000, 40) for b in run(iter([batch.slice(i, 1)]))]
+    whole = pa.Table.from_batches(out)
+    assert whole.num_rows == 2000 * (3 if kernel == "encode_rows" else 1)
+    if kernel != "encode_rows":
+        assert whole.take(list(range(0, 2000, 40))).to_pylist() == pa.Table.from_batches(one_by_one).to_pylist()
+
+
+def test_long_streams_are_made_in_pieces():
+    """A stream over several pieces, from any offset and past the counter's end, is the one made block by block."""
+    base = (2**128 - 5).to_bytes(16, "big")
+    data = bytes(range(256)) * 1200
+    whole = kernels.ctr_xor(b"k" * 16, base, 0, data)
+    for i in (0, 4, 5, 6, 1023, 16383, 16384, 16385, 19199):
+        block = kernels.aes128_blocks(b"k" * 16, np.frombuffer(((2**128 - 5 + i) % 2**128).to_bytes(16, "big"), np.uint8)[None]).tobytes()
+        assert whole[16 * i : 16 * i + 16] == bytes(a ^ b for a, b in zip(data[16 * i : 16 * i + 16], block, strict=True))
+    for at in (1, 15, 17, 262_143, 262_145):
+        assert kernels.ctr_xor(b"k" * 16, base, at, data[at:]) == whole[at:]
+    assert kernels.ctr_xor(b"k" * 16, base, 3, b"") == b""
+
+
 def test_destinations_avoid_nodes(spark):
     disks, nodes = disks_and_nodes(spark)
     placed = spark.createDataFrame([(1, 0, 10, 2, 5), (1, 1, 11, 4, 5), (2, 0, 20, 2, 5)], "vlog_id long, shard_idx int, plog_id long, disk_id long, length long")
