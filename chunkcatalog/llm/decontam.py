@@ -13,7 +13,8 @@ An item and a window of a document as long as the item (in words) match if the w
 3. Verification computes the exact similarity from the shingles themselves.
 
 Only DataFrame functions are used. Words never leave the map side but for anchors and for documents with candidates. The
-benchmark's shingles and postings are broadcast only if their counted rows are few (``BROADCAST_ROWS``); joins shuffle otherwise.
+benchmark's shingles and postings and the names of rows with candidates or matches are broadcast only if their counted rows are few (``BROADCAST_ROWS``);
+joins shuffle otherwise.
 
 Cases: words are runs of letters and digits, lower-cased; an item of fewer than 5 words has one shingle of all its words; an item
 without words (or null) matches nothing, nor does null text; windows at a document's end are shifted to fit or, in shorter
@@ -135,7 +136,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) ->
     items = prepare(benchmark)
     starts = anchors(docs, items).select("row", "n_words", "k", F.greatest(F.least("pos", F.col("n") - F.col("n_words")), F.lit(0)).alias("start")).distinct()
     starts = cut(starts.groupBy("row").agg(F.collect_list(F.struct("n_words", "k", "start")).alias("starts")))
-    windows = docs.join(_bounded(starts), "row").select("row", words_of(F.col("text")).alias("words"), "starts").dropDuplicates(["row"])
+    # Only names of rows are broadcast; the lists, which grow with the documents and with the passages in each, meet what is left of the texts by row.
+    asked = docs.join(_bounded(starts.select("row")), "row", "left_semi").dropDuplicates(["row"])
+    windows = asked.join(starts, "row").select("row", words_of(F.col("text")).alias("words"), "starts")
     windows = windows.select("row", "words", F.explode("starts").alias("w")).select("row", F.col("w.n_words").alias("n_words"), F.col("w.k").alias("k"), F.col("w.start").alias("start"), _shingles(F.slice("words", F.col("w.start") + 1, F.col("w.n_words")), F.col("w.k")).alias("grams"))
     windows = cut(windows)
     key = ["row", "n_words", "start"]
@@ -169,5 +172,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that match no item."""
     rows = with_row(docs)
-    found = matches(rows.where("text IS NOT NULL").select("row", "text"), benchmark).select("row").distinct()
-    return rows.join(found, "row", "left_anti").select(docs.columns)
+    found = cut(matches(rows.where("text IS NOT NULL").select("row", "text"), benchmark).select("row").distinct())
+    return rows.join(_bounded(found), "row", "left_anti").select(docs.columns)

@@ -521,6 +521,19 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert [(r.doc_id, r.item_id, r.start, r.similarity) for r in got] == [(1, 9, 1, 1.0)]
 
 
+def test_decontamination_broadcasts_no_lists_and_shuffles_no_clean_text(spark, monkeypatch):
+    """What is broadcast has rows of a fixed size, and rows without a match are not shuffled to be kept."""
+    asked = []
+    bounded = decontam._bounded
+    monkeypatch.setattr(decontam, "_bounded", lambda df: asked.append(dict(df.dtypes)) or bounded(df))
+    text = some_texts(1, 78, 30, 30)[0]
+    table = docs(spark, [(i, f"start {text} end" if i % 50 == 0 else f"nothing {i}", "en", "s", 0) for i in range(200)] + [(None, None, "en", "s", 0)] * 2)
+    kept = decontam.clean(table, spark.createDataFrame([(9, text)], "item_id long, text string"))
+    assert not [kind for columns in asked for kind in columns.values() if "array" in kind]
+    assert "row" in asked[-1] and "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [i for i in range(200) if i % 50] and kept.where("doc_id IS NULL").count() == 2
+
+
 # ---- 8 nearest neighbours
 
 
